@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import substring_dedup
+from keyloom.llm import simhash_dedup, substring_dedup
 from keyloom.llm._frames import table
 
 
@@ -16,6 +16,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup,)}
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), radius=3, size=3)
+    return out.select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op4_simhash_dedup)}
 
 ORACLES: dict[str, str] = {}
