@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, secret_scan, simhash_dedup, substring_dedup
+from keyloom.llm import byte_bpe, decontaminate, secret_scan, sharding, simhash_dedup, substring_dedup
 from keyloom.llm._frames import table
 
 
@@ -29,11 +29,24 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.interleave(table(spark, sf_dir, "documents"), shards=24, seed=1)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item that a document holds: question and answer at 0.8 of their five-word shingles."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op4_simhash_dedup, op9_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op4_simhash_dedup, op7_stratified_interleave, op8_byte_bpe, op9_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {}

