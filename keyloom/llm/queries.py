@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import byte_bpe, decontaminate, secret_scan, sharding, simhash_dedup, substring_dedup
+from keyloom.llm import byte_bpe, decontaminate, multiset_fingerprint, secret_scan, sharding, simhash_dedup, substring_dedup
 from keyloom.llm._frames import table
 
 
@@ -24,6 +24,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), radius=3, size=3)
     return out.select("doc_id", "fingerprint", "component_id")
@@ -47,6 +51,6 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op4_simhash_dedup, op7_stratified_interleave, op8_byte_bpe, op9_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_multiset_fingerprint, op4_simhash_dedup, op7_stratified_interleave, op8_byte_bpe, op9_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {}
