@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pieces of up to so many bytes are merged directly.
 LEAF = 24
@@ -171,7 +172,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with n_tokens long, ids string (decimal, joined by a space) and decoded binary (from the ids)."""
     codec = _shared(docs.sparkSession, path, pattern)
     kept = docs.select([c for c in docs.columns if c not in ("n_tokens", "ids", "decoded")])
-    schema = kept.schema.add("n_tokens", "long").add("ids", "string").add("decoded", "binary")
+    schema = T.StructType(kept.schema.fields[:]).add("n_tokens", "long").add("ids", "string").add("decoded", "binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec()
