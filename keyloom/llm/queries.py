@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import byte_bpe, decontaminate, multiset_fingerprint, secret_scan, sharding, simhash_dedup, substring_dedup
+from keyloom.llm import byte_bpe, decontaminate, multiset_fingerprint, secret_scan, sharding, simhash_dedup, substring_dedup, url_filter
 from keyloom.llm._frames import table
 
 
@@ -51,6 +51,42 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_multiset_fingerprint, op4_simhash_dedup, op7_stratified_interleave, op8_byte_bpe, op9_benchmark_decontamination)}
-
-ORACLES: dict[str, str] = {}
+#: The rules of the contract: verdict, host, path.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+#: Listed domains: these names under each of the three endings.
+LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+ENDINGS = ("com", "net", "org")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(f"{name}.example.{ending}",) for name in LISTED_NAMES for ending in ENDINGS], "key string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP10_SQL = f"""
+with parts as (
+  select page_id,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') as host,
+    coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') as path
+  from pages),
+ruled as (
+  select *, case
+    when (host = 'example.com' or suffix(host, '.example.com')) and prefix(path, '/en/7') then 'example.com/en/7'
+    when (host = 'example.net' or suffix(host, '.example.net')) and prefix(path, '/de/8') then 'example.net/de/8'
+    when (host = 'com' or suffix(host, '.com')) and prefix(path, '/en/') then 'com/en/'
+    when (host = 'net' or suffix(host, '.net')) and prefix(path, '/de/') then 'net/de/'
+    when (host = 'org' or suffix(host, '.org')) and prefix(path, '/es/') then 'org/es/' end as rule
+  from parts)
+select page_id, host, path, rule, case
+    when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block'
+    when rule is not null then 'allow'
+    when regexp_matches(host, '(^|[.])({"|".join(LISTED_NAMES)})[.]example[.]({"|".join(ENDINGS)})$') then 'block'
+    else 'allow' end as verdict
+from ruled
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_multiset_fingerprint, op4_simhash_dedup, op7_stratified_interleave, op8_byte_bpe, op9_benchmark_decontamination, op10_url_filter)}
+
+ORACLES: dict[str, str] = {"op10_url_filter": OP10_SQL}
