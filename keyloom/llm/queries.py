@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import byte_bpe, decontaminate, multiset_fingerprint, quality_gam, secret_scan, sharding, simhash_dedup, substring_dedup, url_filter
+from keyloom.llm import byte_bpe, decontaminate, language_crf, multiset_fingerprint, quality_gam, secret_scan, sharding, simhash_dedup, substring_dedup, url_filter
 from keyloom.llm._frames import table
 
 
@@ -40,6 +40,13 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", predicted)
 
 
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    out = language_crf.predict(docs, language_crf.train(docs, learn=remainder != 1))
+    return out.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(table(spark, sf_dir, "documents"), shards=24, seed=1)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -94,6 +101,6 @@ from ruled
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_multiset_fingerprint, op4_simhash_dedup, op5_quality_gam, op7_stratified_interleave, op8_byte_bpe, op9_benchmark_decontamination, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_multiset_fingerprint, op4_simhash_dedup, op5_quality_gam, op6_language_crf, op7_stratified_interleave, op8_byte_bpe, op9_benchmark_decontamination, op10_url_filter)}
 
 ORACLES: dict[str, str] = {"op10_url_filter": OP10_SQL}
