@@ -19,8 +19,8 @@ expressions of the second pass. All is built-in functions: no Python runs on the
 shuffled.
 
 Offsets are code points, ends exclusive. Defined results: a null text is empty and has no spans; letter case
-is ASCII; repeated rows count as candidates each; other columns are kept by scan() (a column named
-spans is replaced); an empty table gives no rows.
+is ASCII; repeated rows count as candidates each; other columns are kept by scan() (one of the
+result's name is replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -152,16 +152,16 @@ def limits(docs: DataFrame, rate: float, least: int) -> dict[tuple[int, int], in
     return {(r["size"], r["band"]): r["bin"] for r in passed.groupBy("size", "band").agg(F.min("bin").alias("bin")).collect()}
 
 
-def scan(docs: DataFrame, rate: float = 0.01, least: int = 20) -> DataFrame:
-    """docs with a column spans: array of (start, kind, end), by start and kind; kind counts in KINDS."""
+def scan(docs: DataFrame, rate: float = 0.01, least: int = 20, name: str = "spans") -> DataFrame:
+    """docs with a column of that name: array of (start, kind, end), by start and kind; kind counts in KINDS."""
     found = limits(docs, rate, least)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("spans", base_spans(text))
+    out = docs.withColumn(name, base_spans(text))
     if not found:
         return out
     limit = F.create_map(*(F.lit(x) for (size, band), b in sorted(found.items()) for x in (f"{size}:{band}", b)))
-    chosen = F.filter(candidates(text, F.col("spans"), least), lambda c: c["bin"] >= F.coalesce(F.try_element_at(limit, F.concat_ws(":", c["size"], c["band"])), F.lit(TOP_BIN + 1)))
-    return out.withColumn("spans", F.array_sort(F.concat("spans", _bare(chosen))))
+    chosen = F.filter(candidates(text, F.col(name), least), lambda c: c["bin"] >= F.coalesce(F.try_element_at(limit, F.concat_ws(":", c["size"], c["band"])), F.lit(TOP_BIN + 1)))
+    return out.withColumn(name, F.array_sort(F.concat(name, _bare(chosen))))
 
 
 def spans_text(spans: Column) -> Column:
