@@ -3,16 +3,18 @@
 Every training passage is a query. Passages are ``2 * m`` words long and start every ``m`` words, m being
 the longest item's length (32 at least), so any copy of an item lies whole inside some passage. Scores are
 BM25 divided by the item's score against its own text: 1 says that the passage has all of the item's words.
-Block-max WAND returns all items that reach ``threshold``; there is no top-k. A passage whose terms' upper
-bounds can't reach the threshold has no pivot, and is passed over by a sum over arrays. What is retrieved
+Items are held in blocks of like length. As in block-max WAND, the sum of a passage's term maxima in a block
+says whether any of its items can reach ``threshold``; blocks that can't are skipped, and the rest are scored
+exactly from the block's postings. There is no top-k: all that reach the threshold are returned. Both steps
+run over arrays, many passages at a time, instead of moving one cursor at a time. What is retrieved
 is verified: of the question's and of the answer's five-word shingles, each taken alone, at least
 ``overlap`` must be in the passage. Without columns question and answer, an item's first two thirds of
 words are its question and the rest its answer.
 
 Words are lower-cased (A to Z) and cut at white space and ASCII punctuation.
 
-The index is built on the driver and sent to the tasks in blocks of items of at most ``block_bytes``
-of text; with more items there are more blocks, each a pass over the documents, and the results add up.
+The index is built on the driver and sent to the tasks in portions of items of about ``block_bytes`` of
+text (under 200 MB of arrays each); with more items there are more portions, each a pass over the documents, and the results add up.
 
 Defined results: items and documents that are null or have no words match nothing; items of fewer than five
 words match as one whole shingle; equal items each match; repeated rows each match; extra columns are ignored;
@@ -35,42 +37,53 @@ from keyloom.llm._words import U64, Words, grams
 #: A to Z to lower case, ASCII punctuation to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 K1, B = 1.2, 0.75
-POSTINGS = 64
+#: Items in a block.
+BLOCK = 16
 SHINGLE = 5
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 class Index:
-    """postings: for each term, the items in ascending order with the term's share of their own score, and block maxima."""
+    """most: for each term, its largest share of any item's own score, block by block. Of block k, local[k] numbers
+    the terms that occur there, and postings[k] has the shares by that number (0: none) and item."""
 
     def __init__(self, items: list[tuple[int, bytes, bytes]]):
-        self.ids = [i for i, _, _ in items]
+        parts = []
         q, a = Words([x for _, x, _ in items], FOLD), Words([x for _, _, x in items], FOLD)
         qh, ah = q.hashes(), a.hashes()
-        self.parts = []
-        for k in range(len(items)):
+        for k, (item_id, _, _) in enumerate(items):
             mine, rest = qh[q.first[k] : q.first[k + 1]], ah[a.first[k] : a.first[k + 1]]
             if not len(rest):  # one text: its last third is the answer
                 cut = len(mine) - len(mine) // 3
                 mine, rest = mine[:cut], mine[cut:]
-            self.parts.append((mine, rest))
-        lengths = np.array([len(m) + len(r) for m, r in self.parts], np.int64)
-        self.longest = int(lengths.max(initial=0))
-        mean = max(1.0, lengths.mean() if len(lengths) else 1.0)
-        owner = np.repeat(np.arange(len(items)), lengths)
-        every = np.concatenate([np.concatenate(p) for p in self.parts]) if self.parts else np.zeros(0, U64)
-        self.terms, term = np.unique(every, return_inverse=True)
-        pair, tf = np.unique(term.astype(np.int64) * max(1, len(items)) + owner, return_counts=True)
-        term, item = np.divmod(pair, max(1, len(items)))
+            if len(mine) + len(rest):
+                parts.append((len(mine) + len(rest), k, item_id, mine, rest))
+        parts.sort(key=lambda x: x[:2])
+        self.ids = [x[2] for x in parts]
+        self.parts = [x[3:] for x in parts]
+        lengths = np.array([x[0] for x in parts], np.int64)
+        self.longest, n = int(lengths.max(initial=0)), len(parts)
+        if not n:
+            self.terms, self.most = np.zeros(0, U64), np.zeros((0, 0), np.float32)
+            return
+        self.terms, term = np.unique(np.concatenate([np.concatenate(x) for x in self.parts]), return_inverse=True)
+        pair, tf = np.unique(term * n + np.repeat(np.arange(n), lengths), return_counts=True)
+        term, item = np.divmod(pair, n)
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
-        weight /= np.bincount(item, weight, minlength=len(items))[item]
-        at = np.searchsorted(term, np.arange(len(self.terms) + 1))
-        self.items = [item[lo:hi].tolist() for lo, hi in zip(at, at[1:], strict=False)]
-        self.weights = [weight[lo:hi].tolist() for lo, hi in zip(at, at[1:], strict=False)]
-        self.blocks = [[max(w[lo : lo + POSTINGS]) for lo in range(0, len(w), POSTINGS)] for w in self.weights]
-        self.most = np.array([max(b) for b in self.blocks] or [0.0])
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        share = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+        share /= np.bincount(item, share, minlength=n)[item]
+        blocks = -(-n // BLOCK)
+        self.most = np.zeros((len(self.terms), blocks), np.float32)
+        np.maximum.at(self.most, (term, item // BLOCK), share.astype(np.float32))
+        self.local, self.postings = np.zeros((blocks, len(self.terms)), np.int32), []
+        for k in range(blocks):
+            mine = item // BLOCK == k
+            own, number = np.unique(term[mine], return_inverse=True)
+            self.local[k, own] = np.arange(1, len(own) + 1)
+            weights = np.zeros((len(own) + 1, BLOCK), np.float32)
+            weights[number + 1, item[mine] % BLOCK] = share[mine]
+            self.postings.append(weights)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 if no item has it."""
@@ -79,52 +92,22 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Items whose shares of the given distinct terms sum to the threshold at least: block-max WAND."""
-        most, items, weights, blocks = self.most, self.items, self.weights, self.blocks
-        least = threshold - 1e-9
-        cursors = [[items[t][0], 0, t] for t in terms]
-        found = []
-        while cursors:
-            cursors.sort()
-            bound, pivot = 0.0, -1
-            for k, (_, _, t) in enumerate(cursors):
-                bound += most[t]
-                if bound >= least:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            target = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == target:
-                pivot += 1
-            head = cursors[: pivot + 1]
-            end, shallow = None, 0.0
-            for c in head:  # the blocks in which the target would be
-                n = items[c[2]]
-                k = c[1] // POSTINGS
-                while (k + 1) * POSTINGS < len(n) and n[(k + 1) * POSTINGS - 1] < target:
-                    k += 1
-                last = n[min(len(n), (k + 1) * POSTINGS) - 1]
-                if last >= target:
-                    shallow += blocks[c[2]][k]
-                    end = last if end is None else min(end, last)
-            if shallow < least:  # no item up to the nearest block end, nor before the next cursor, can do it
-                target = (target if end is None else end) + 1
-                if pivot + 1 < len(cursors):
-                    target = max(cursors[pivot][0] + 1, min(target, cursors[pivot + 1][0]))
-            elif cursors[0][0] == target:
-                score = sum(weights[c[2]][c[1]] for c in head)
-                if score >= least:
-                    found.append((target, score))
-                target += 1
-            for c in head:
-                n, k = items[c[2]], c[1]
-                while k < len(n) and n[k] < target:
-                    k += 1
-                c[0], c[1] = (n[k] if k < len(n) else -1), k
-            cursors = [c for c in cursors if c[0] >= 0]
-        return found
+    def search(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+        """passage, item, score of all that reach the threshold, from sorted distinct pairs (passage, term)."""
+        least = threshold - 1e-5
+        start = np.flatnonzero(np.diff(passage, prepend=-1))
+        bound = np.add.reduceat(self.most[term], start, axis=0)
+        owner = np.cumsum(np.diff(passage, prepend=-1) != 0) - 1
+        for k in range(bound.shape[1]):
+            able = bound[:, k] >= least
+            rows = np.flatnonzero(able[owner])
+            if not len(rows):
+                continue
+            own = owner[rows]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            score = np.add.reduceat(self.postings[k][self.local[k][term[rows]]], first, axis=0)
+            for i, j in zip(*np.nonzero(score >= least), strict=True):
+                yield int(passage[rows[first[i]]]), k * BLOCK + int(j), float(score[i, j])
 
     def overlaps(self, item: int, words: np.ndarray) -> tuple[float, float]:
         """Shares of the question's and the answer's shingles that the words have; a part without words is all there."""
@@ -139,49 +122,46 @@ class Index:
         return shares[0], shares[1]
 
 
-def passages(first: int, last: int, step: int) -> list[tuple[int, int]]:
-    """Word ranges of 2 * step words that cover first to last, each beginning a step after the other."""
-    return [(at, min(at + 2 * step, last)) for at in range(first, max(first + 1, last - step), step)] if last > first else []
-
-
 def hits(index: Index, texts: list[bytes], threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
-    """document, item number, best score, overlaps of the best verified passage."""
+    """document, item, score, overlaps: of each item that a document holds, the best passage that is verified."""
     words = Words(texts, FOLD)
     hashes = words.hashes()
     term = index.lookup(hashes)
-    known = term >= 0
-    bound = np.concatenate([[0.0], np.cumsum(np.where(known, index.most[term], 0.0))])
     step = max(32, index.longest)
-    for doc in range(len(texts)):
-        first, last = int(words.first[doc]), int(words.first[doc + 1])
-        if bound[last] - bound[first] < threshold - 1e-6:
-            continue
-        best: dict[int, tuple] = {}
-        for lo, hi in passages(first, last, step):
-            if bound[hi] - bound[lo] < threshold - 1e-6:
-                continue
-            mine = np.unique(term[lo:hi][known[lo:hi]])
-            if index.most[mine].sum() < threshold - 1e-6:
-                continue
-            for item, score in index.search(mine.tolist(), threshold):
-                q, a = index.overlaps(item, hashes[lo:hi])
-                if q >= overlap and a >= overlap:
-                    best[item] = max(best.get(item, (0.0,)), (score, q, a))
-        for item, (score, q, a) in sorted(best.items()):
-            yield doc, item, score, q, a
-
-
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
+    # a document's passages start every step words, the last one at most a step before its end
+    count = np.maximum(1, -(-(np.diff(words.first) - step) // step))
+    base = np.concatenate([[0], np.cumsum(count)])
+    doc = words.docs()
+    own = (np.arange(words.n) - words.first[doc]) // step
+    found = np.flatnonzero(term >= 0)
+    later, sooner = found[own[found] < count[doc[found]]], found[own[found] > 0]
+    size = max(1, len(index.terms))
+    keys = np.concatenate([(base[doc[w]] + own[w] - back) * size + term[w] for w, back in ((later, 0), (sooner, 1))])
+    if not len(keys):
+        return
+    passage, term = np.divmod(np.unique(keys), size)
+    best: dict[tuple[int, int], tuple] = {}
+    for p, item, score in index.search(passage, term, threshold):
+        d = int(np.searchsorted(base, p, "right")) - 1
+        low = int(words.first[d]) + (p - int(base[d])) * step
+        q, a = index.overlaps(item, hashes[low : min(low + 2 * step, int(words.first[d + 1]))])
+        if q >= overlap and a >= overlap:
+            best[d, item] = max(best.get((d, item), (0.0,)), (score, q, a))
+    for (d, item), (score, q, a) in sorted(best.items()):
+        yield d, item, score, q, a
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: each item that a document holds."""
     split = {"question", "answer"} <= set(items.columns)
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (("question", "answer") if split else ("text",))] + [F.lit("")] * (not split)
     listed = items.select(F.col("item_id").cast("long").alias("item_id"), parts[0].alias("q"), parts[1].alias("a"))
     size = F.octet_length("q") + F.octet_length("a")
-    n_blocks = -(-int(listed.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) * 2 // block_bytes) or 1
+    n_portions = -(-int(listed.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) * 2 // block_bytes) or 1
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for k in range(n_blocks):
-        mine = listed.where(F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(n_blocks)) == k).orderBy("item_id", "q", "a").collect()
+    for k in range(n_portions):
+        mine = listed.where(F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(n_portions)) == k).orderBy("item_id", "q", "a").collect()
         index = Index([(r.item_id, r.q.encode(), r.a.encode()) for r in mine])
         sent = docs.sparkSession.sparkContext.broadcast(index)
         one = source.mapInArrow(functools.partial(_scan, sent, threshold, overlap), SCHEMA)
