@@ -1,10 +1,301 @@
-"""The registered queries for keyed tables and their SQL."""
+"""The registered queries for keyed tables and their SQL.
+
+The log of several queries is the table events read as intents: signup inserts, error deletes, view gets, click and
+purchase update; the key is user_id, the order event_id, the payload value.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from keyloom.functions import filters
+from keyloom.operators import latency, read, replay
+from keyloom.operators.placement import Ring, balance
+from keyloom.plans.engine import Engine
+from keyloom.schema import TableDef
+from keyloom.sources.tables import load, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+VALUES = TableDef("values", T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.DoubleType())]), key=("k",))
+PREFIX = """with i as (select user_id k, event_id seq, value v,
+     case event_type when 'signup' then 'insert' when 'error' then 'delete' when 'view' then 'get' else 'update' end op from events),
+ a as (select *, coalesce(last_value(case when op in ('insert','delete') then op end ignore nulls) over w = 'insert', false) alive
+       from i window w as (partition by k order by seq rows between unbounded preceding and 1 preceding))"""
+FINAL = """, e as (select *, max(case when op <> 'update' then seq end) over (partition by k) s0 from i where op <> 'get'),
+ f as (select k, arg_max(v, seq) v from e where seq >= s0 group by k having arg_min(op, seq) = 'insert')"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table_def(df: DataFrame, name: str, *key: str, sort: tuple[str, ...] = ()) -> TableDef:
+    return TableDef(name, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields]), key=key, sort=sort)
+
+
+def event_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = load(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "get").otherwise("update")
+    k, v = F.col("user_id").alias("k"), F.col("value").alias("v")
+    row = F.when(op == "insert", F.struct(k, v)).alias("_row")
+    change = F.when(op == "update", F.struct(F.struct(v).alias("v"))).alias("_set")
+    return events.select(F.col("event_id").alias("_seq"), op.alias("_op"), k, row, change)
+
+
+def _get(spark, sf_dir, name, key, keys, sort=(), **asked) -> DataFrame:
+    rows = load(spark, sf_dir, name)
+    return read.get(table_def(rows, name, key, sort=sort), rows, keys, **asked)
+
+
+# Reads
+
+
+@query("select * from customer where c_custkey = 7")
+def get_point(spark, sf_dir):
+    return _get(spark, sf_dir, "customer", "c_custkey", [7]).drop("_pos")
+
+
+@query("select * from customer where c_custkey = 7 and c_mktsegment = 'no such segment'")
+def get_filter_miss(spark, sf_dir):
+    return _get(spark, sf_dir, "customer", "c_custkey", [7], where=filters.equals("c_mktsegment")("no such segment")).drop("_pos")
+
+
+@query("select * from customer where c_custkey in (1, 2, 3, 4, 5, 6, 7, 8) and c_acctbal > 1000")
+def get_filter_hit(spark, sf_dir):
+    return _get(spark, sf_dir, "customer", "c_custkey", list(range(1, 9)), where=F.col("c_acctbal") > 1000).drop("_pos")
+
+
+@query("select pos, o_orderkey, o_totalprice from (values (0::bigint,5::bigint),(1,9),(2,5),(3,999999)) k(pos,k) join orders on o_orderkey = k")
+def multi_get(spark, sf_dir):
+    return _get(spark, sf_dir, "orders", "o_orderkey", [5, 9, 5, 999999]).select(F.col("_pos").alias("pos"), "o_orderkey", "o_totalprice")
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey % 3 = 1")
+def multi_get_many(spark, sf_dir):
+    """More keys than an IN list takes: a join on the key."""
+    rows = load(spark, sf_dir, "orders")
+    keys = rows.select("o_orderkey").where("o_orderkey % 3 = 1")
+    return rows.join(keys, "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("select * from conversations where conv_id in (3,5,9)")
+def get_sorted(spark, sf_dir):
+    return _get(spark, sf_dir, "conversations", "conv_id", [3, 5, 9], sort=("turn",)).drop("_pos")
+
+
+@query("select * from conversations where conv_id in (3,5,9) and turn in (0,2)")
+def get_sorted_keys(spark, sf_dir):
+    return _get(spark, sf_dir, "conversations", "conv_id", [3, 5, 9], sort=("turn",), sort_keys=[0, 2]).drop("_pos")
+
+
+@query("select * from conversations where conv_id in (3,5,9) and role = 'user' order by conv_id, turn limit 4")
+def get_sorted_limit(spark, sf_dir):
+    return _get(spark, sf_dir, "conversations", "conv_id", [3, 5, 9], sort=("turn",), where=F.col("role") == "user", limit=4).drop("_pos")
+
+
+@query("""select conv_id, turn from (select conv_id, turn, row_number() over (order by conv_id, turn) g,
+  row_number() over (partition by conv_id order by turn) p from conversations where conv_id in (3,5,9)) where g <= 2 or p = 1""")
+def get_sorted_limit_compat(spark, sf_dir):
+    return _get(spark, sf_dir, "conversations", "conv_id", [3, 5, 9], sort=("turn",), limit=2, compat_limit=True).select("conv_id", "turn")
+
+
+@query("select * from conversations where conv_id in (9, 5) order by case conv_id when 9 then 0 else 1 end, turn limit 1")
+def first_row(spark, sf_dir):
+    rows = load(spark, sf_dir, "conversations")
+    table = table_def(rows, "conversations", "conv_id", sort=("turn",))
+    return read.first(table, read.get(table, rows, [9, 5]))
+
+
+@query("""select event_id, event_type, idx from (select event_id, event_type, row_number() over (order by event_id) idx
+  from events where user_id = 8) where idx > 10""")
+def response_order_skip(spark, sf_dir):
+    return read.skip(load(spark, sf_dir, "events").where("user_id = 8").select("event_id", "event_type"), 10, "event_id")
+
+
+# Mutations of plain frames
+
+
+@query("""select * exclude(rn) from (select *, row_number() over (partition by l_orderkey, l_linenumber
+  order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_extendedprice desc, l_quantity desc,
+           l_discount desc, l_tax desc, l_returnflag desc, l_linestatus desc) rn from lineitem) where rn = 1""")
+def upsert_lww(spark, sf_dir):
+    order = "l_shipdate l_partkey l_suppkey l_extendedprice l_quantity l_discount l_tax l_returnflag l_linestatus".split()
+    return read.latest(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col(c).desc() for c in order])
+
+
+@query("select * from customer where c_custkey not in (5,9,999999)")
+def delete_keys(spark, sf_dir):
+    return load(spark, sf_dir, "customer").where(~F.col("c_custkey").isin(5, 9, 999999))
+
+
+@query("""select c_custkey, c_name, c_nationkey, case c_custkey when 5 then 1.5::double when 9 then 2.5::double
+  else c_acctbal end c_acctbal, c_mktsegment from customer""")
+def update_set(spark, sf_dir):
+    balance_ = filters.set_by_key("c_custkey", {5: 1.5, 9: 2.5}, "c_acctbal")
+    return load(spark, sf_dir, "customer").withColumn("c_acctbal", balance_)
+
+
+# The change log
+
+
+@query(PREFIX + " select k, seq, op, case when op = 'insert' then true else alive end ack from a")
+def replay_acks(spark, sf_dir):
+    out = replay.acks(VALUES, event_intents(spark, sf_dir))
+    return out.select("k", F.col("_seq").alias("seq"), F.col("_op").alias("op"), "ack")
+
+
+@query(PREFIX + """, b as (select *, last_value(case when op='insert' or (op='update' and alive) then v end ignore nulls)
+        over (partition by k order by seq rows between unbounded preceding and 1 preceding) v_now from a)
+ select k, seq, v_now from b where op = 'get' and alive""")
+def replay_point_in_time(spark, sf_dir):
+    out = replay.seen_by_gets(VALUES, event_intents(spark, sf_dir), ["v"])
+    return out.select("k", F.col("_seq").alias("seq"), F.col("v").alias("v_now"))
+
+
+@query(PREFIX + """, e as (select *, max(case when op <> 'update' then seq end) over (partition by k) s0 from i where op <> 'get')
+ select k, arg_max(v, seq) v, min(seq) inserted_at, max(seq) last_seq from e where seq >= s0 group by k having arg_min(op, seq) = 'insert'""")
+def replay_final(spark, sf_dir):
+    fold = replay.folded(VALUES, event_intents(spark, sf_dir))
+    return replay.standing(VALUES, fold, extra=(F.col("_anchor")["_seq"].alias("inserted_at"), F.col("_last").alias("last_seq")))
+
+
+@query(PREFIX + FINAL + " select k, v from f")
+def compaction_equiv(spark, sf_dir):
+    """A snapshot of the log's first half and the rest of the log give what the whole log gives."""
+    log = event_intents(spark, sf_dir)
+    middle = load(spark, sf_dir, "events").agg(F.floor(F.max("event_id") / 2).cast("long")).first()[0] or 0
+    snapshot = replay.state(VALUES, log.where(F.col("_seq") < middle))
+    return replay.state(VALUES, log.where(F.col("_seq") >= middle), snapshot)
+
+
+@query(PREFIX + FINAL + " select k, v from f")
+def replay_user_mutator(spark, sf_dir):
+    """Updates as a user's code instead of set-style columns."""
+    log = event_intents(spark, sf_dir).withColumn("payload", F.col("_set")["v"]["v"])
+    return replay.mutated(VALUES, log, lambda row, payload: row | {"v": payload}, "payload")
+
+
+@query(PREFIX + """, g as (select k, list(op order by seq) ops, count(*) n from i group by k) select k, n, array_to_string(ops, ',') ops from g""")
+def intents_by_key(spark, sf_dir):
+    """A key's intents in the log's order."""
+    pairs = F.array_sort(F.collect_list(F.struct("_seq", "_op")))
+    grouped = event_intents(spark, sf_dir).groupBy("k").agg(pairs.alias("p"), F.count("*").alias("n"))
+    return grouped.select("k", "n", F.array_join(F.transform("p", lambda x: x["_op"]), ",").alias("ops"))
+
+
+@query(PREFIX + FINAL + " select distinct i.k from i where i.op <> 'get' and not exists (select 1 from f where f.k = i.k)")
+def pruned_keys(spark, sf_dir):
+    """Keys that have intents and no row at the end."""
+    log = event_intents(spark, sf_dir)
+    return log.where(F.col("_op") != "get").select("k").distinct().join(replay.state(VALUES, log), "k", "left_anti")
+
+
+@query("select * from customer where c_custkey in (select distinct user_id from events where event_type = 'signup')")
+def touched_partitions(spark, sf_dir):
+    """Rows of a snapshot for which a log has intents."""
+    rows = load(spark, sf_dir, "customer")
+    keys = event_intents(spark, sf_dir).where(F.col("_op") == "insert").select(F.col("k").alias("c_custkey"))
+    return replay.touched_rows(table_def(rows, "customer", "c_custkey"), rows, keys)
+
+
+@query("""select archive, live_bytes, row_number() over (order by live_bytes, archive) rank from
+  (select event_id % 8 archive, sum(length(props))::bigint live_bytes from events group by 1)""")
+def archive_usage(spark, sf_dir):
+    live = load(spark, sf_dir, "events").groupBy((F.col("event_id") % 8).alias("archive")).agg(F.sum(F.length("props")).cast("long").alias("live_bytes"))
+    return live.withColumn("rank", F.row_number().over(Window.orderBy("live_bytes", "archive")).cast("long"))
+
+
+# Through the engine: log, acknowledgements, snapshots
+
+
+def _engine(spark: SparkSession) -> Engine:
+    return Engine(spark, scratch(spark))
+
+
+@query("select * from orders")
+def insert_then_verify(spark, sf_dir):
+    """Every row is inserted through the log, compacted, and read back by its key."""
+    rows = load(spark, sf_dir, "orders")
+    table = _engine(spark).register(table_def(rows, "orders", "o_orderkey"))
+    table.insert(rows)
+    table.compact()
+    return table.get_many(rows.select("o_orderkey")).drop("_pos")
+
+
+@query("""select c_custkey, c_name, c_nationkey, case when c_custkey % 5 = 1 then 0.5::double else c_acctbal end c_acctbal, c_mktsegment
+  from customer where c_custkey % 7 <> 0 or c_custkey % 14 = 0""")
+def mutate_and_compact(spark, sf_dir):
+    """Insert, compact, delete, insert again, update, each in its own generation of the log."""
+    rows = load(spark, sf_dir, "customer")
+    table = _engine(spark).register(table_def(rows, "customer", "c_custkey"))
+    table.insert(rows)
+    table.compact()
+    table.delete(rows.where("c_custkey % 7 = 0").select("c_custkey"))
+    table.rotate()
+    table.insert(rows.where("c_custkey % 14 = 0"))
+    table.compact()
+    table.update(rows.where("c_custkey % 5 = 1").select("c_custkey", F.lit(0.5).alias("c_acctbal")))
+    return table.rows()
+
+
+@query("""select idx, ok from (values (0::bigint, true), (1, true), (2, true), (3, true), (4, false), (5, true), (6, true), (7, true), (8, false), (9, false)) r(idx, ok)""")
+def batch_acks(spark, sf_dir):
+    """One ordered batch over two tables; each operation sees those before it."""
+    from keyloom.ops import Delete, Get, Insert, Update
+
+    engine = _engine(spark)
+    customers, turns = load(spark, sf_dir, "customer"), load(spark, sf_dir, "conversations")
+    engine.register(table_def(customers, "customer", "c_custkey")).insert(customers)
+    engine.register(table_def(turns, "conversations", "conv_id", sort=("turn",))).insert(turns)
+    new = {"c_custkey": -1, "c_name": "new", "c_nationkey": 1, "c_acctbal": 0.0, "c_mktsegment": None}
+    batch = engine.batch()
+    for op in (Insert("customer", new), Get("customer", (-1,)), Update("customer", -1, {"c_name": None}), Delete("customer", -1), Get("customer", (-1,)), Get("conversations", (1, 2)), Delete("conversations", 1, 0), Get("conversations", (1,)), Delete("conversations", 1, 0), Update("customer", -1, {"c_name": "x"})):
+        batch.add(op)
+    return batch.execute().responses().select(F.col("index").alias("idx"), "ok")
+
+
+# Placement and latency
+
+
+@query("select count(*) keys from orders")
+def ring_total(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders")
+    shares = balance(orders, Ring([f"shard{i}" for i in range(8)]).column("o_orderkey"))
+    return shares.agg(F.sum("keys").alias("keys"))
+
+
+@query()
+def ring_balance(spark, sf_dir):
+    return balance(load(spark, sf_dir, "orders"), Ring([f"shard{i}" for i in range(8)]).column("o_orderkey"))
+
+
+@query("""select event_type, value p99 from (select *, row_number() over (partition by event_type
+  order by value, event_id) - 1 i, count(*) over (partition by event_type) n from events)
+where i = least(cast(ceil(n * 0.99::double) as bigint), n - 1)""")
+def bench_percentiles(spark, sf_dir):
+    return latency.percentile(load(spark, sf_dir, "events"), ["event_type"], "value", 0.99, "event_id").withColumnRenamed("value", "p99")
+
+
+@query("""select event_type, count(*) n, min(value) "min", max(value) "max",
+  max(case when i = least(cast(ceil(n * 0.99::double) as bigint), n - 1) then value end) p99,
+  max(case when i = least(cast(ceil(n * 0.95::double) as bigint), n - 1) then value end) p95,
+  max(case when i = least(cast(ceil(n * 0.9::double) as bigint), n - 1) then value end) p90,
+  max(case when i = least(cast(ceil(n * 0.5::double) as bigint), n - 1) then value end) p50
+  from (select *, row_number() over (partition by event_type order by value, event_id) - 1 i, count(*) over (partition by event_type) n from events) group by event_type""")
+def bench_report(spark, sf_dir):
+    """All percentiles of samples that two workers took."""
+    events = load(spark, sf_dir, "events")
+    both = latency.merge([events.where("event_id % 2 = 0"), events.where("event_id % 2 <> 0")])
+    return latency.report(both, ["event_type"], "value", "event_id").drop("average", "total")
