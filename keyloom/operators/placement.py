@@ -1,4 +1,4 @@
-"""Placement of keys: a consistent-hash ring with evenly spaced virtual nodes, and its balance."""
+"""Placement of keys: a consistent-hash ring with virtual nodes, and its balance."""
 
 from __future__ import annotations
 
@@ -13,15 +13,18 @@ NODES = 1000
 
 
 class Ring:
-    """NODES points a shard, 2**64 / NODES apart, from the hash of the shard's name; a key goes to its successor."""
+    """NODES points a shard; a key goes to its successor.
+
+    Each point has a hash of its own. Points at even steps from one hash a shard would repeat one pattern of gaps all
+    round, and two shards with near hashes would leave one of them next to nothing.
+    """
 
     def __init__(self, shards: list[str]):
         self.shards = sorted(set(shards))
-        gap = 2**64 // NODES
         points = {}
         for number, name in enumerate(self.shards):
-            base = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big")
-            points.update({(base + i * gap) % 2**64: number for i in range(NODES)})
+            for i in range(NODES):
+                points[int.from_bytes(hashlib.blake2b(f"{i}:{name}".encode(), digest_size=8).digest(), "big")] = number
         at = sorted(points)
         self.points, self.owner = np.array(at, np.uint64), np.array([points[p] for p in at], np.int32)
 
