@@ -17,7 +17,8 @@ from keyloom.operators import latency, read, replay
 from keyloom.operators.placement import Ring, balance
 from keyloom.plans.engine import Engine
 from keyloom.schema import TableDef
-from keyloom.sources.tables import load, scratch
+from keyloom.sources.tables import load, read_csv, scratch
+from keyloom.streaming import tail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -266,6 +267,93 @@ def batch_acks(spark, sf_dir):
     return batch.execute().responses().select(F.col("index").alias("idx"), "ok")
 
 
+@query("select * from orders where o_orderkey in (5, 9, 12)")
+def snapshot_point_read(spark, sf_dir):
+    """A cold get: one bucket's folder for each key, the key pushed into the scan."""
+    rows = load(spark, sf_dir, "orders")
+    table = _engine(spark).register(table_def(rows, "orders", "o_orderkey"))
+    table.insert(rows)
+    table.compact()
+    return table.get([5, 9, 12]).drop("_pos")
+
+
+@query("select conv_id, turn, case when turn = 0 then 'first' else role end as role, text from conversations where role <> 'system' or turn = 0")
+def ephemeral_verbs(spark, sf_dir):
+    """A sorted table in memory: insert, delete, update, get; nothing is written."""
+    rows = load(spark, sf_dir, "conversations")
+    definition = table_def(rows, "conversations", "conv_id", sort=("turn",))
+    table = _engine(spark).register(TableDef("conversations", definition.schema, definition.key, definition.sort, ephemeral=True))
+    table.insert(rows)
+    table.delete(rows.where("role = 'system' and turn <> 0").select("conv_id", "turn"))
+    table.update(rows.where("turn = 0").select("conv_id", "turn", F.lit("first").alias("role")))
+    return table.rows()
+
+
+@query("select c_custkey, c_name, c_nationkey, case when c_custkey % 10 < 8 then -1.0::double else c_acctbal end c_acctbal, c_mktsegment from customer")
+def collect_archives(spark, sf_dir):
+    """Versions that are mostly dead are rewritten and deleted; rows stay."""
+    rows = load(spark, sf_dir, "customer")
+    table = _engine(spark).register(table_def(rows, "customer", "c_custkey"))
+    table.insert(rows)
+    table.compact()
+    table.update(rows.where("c_custkey % 10 < 8").select("c_custkey", F.lit(-1.0).alias("c_acctbal")))
+    table.compact()
+    table.collect()
+    return table.rows()
+
+
+@query("select conv_id, turn, role, text from conversations where conv_id in (3, 5) and role = 'user'")
+def batch_rows(spark, sf_dir):
+    """Rows that a filtered get of a batch answers with."""
+    from keyloom.ops import Get
+
+    engine, rows = _engine(spark), load(spark, sf_dir, "conversations")
+    engine.register(table_def(rows, "conversations", "conv_id", sort=("turn",))).insert(rows)
+    return engine.batch().add(Get("conversations", (5, 3), where=filters.equals("role")("user"))).execute().rows(0, "conversations")
+
+
+# Logs and files
+
+
+@query(PREFIX + " select k, seq, op from i where op <> 'get'")
+def log_scan(spark, sf_dir):
+    """Intents appended in two generations, scanned back."""
+    log = event_intents(spark, sf_dir).where(F.col("_op") != "get")
+    table = _engine(spark).register(VALUES)
+    table.append(log.where("_seq % 2 = 0"))
+    table.rotate()
+    table.append(log.where("_seq % 2 <> 0"))
+    return table.intents().select("k", F.col("_seq").alias("seq"), F.col("_op").alias("op"))
+
+
+@query("select * from nation")
+def csv_scan(spark, sf_dir):
+    """A headered CSV file by its schema."""
+    rows, path = load(spark, sf_dir, "nation"), scratch(spark)
+    rows.write.option("header", True).csv(path)
+    return read_csv(spark, path, rows.schema, "fail")
+
+
+@query(PREFIX + " select k, seq, op, case when op = 'insert' then true else alive end ack from a")
+def stream_acks(spark, sf_dir):
+    """The log as a stream, folded with state for each key: the batch's acknowledgements."""
+    base = scratch(spark)
+    event_intents(spark, sf_dir).write.parquet(f"{base}/log")
+    answers = tail.fold(tail.tail(spark, f"{base}/log", VALUES), VALUES)
+    answers.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("k", F.col("_seq").alias("seq"), F.col("_op").alias("op"), "ack")
+
+
+@query(PREFIX + FINAL + " select k, v from f")
+def stream_ingest(spark, sf_dir):
+    """A stream of intents into a table's log, then its rows."""
+    base = scratch(spark)
+    event_intents(spark, sf_dir).where(F.col("_op") != "get").write.parquet(f"{base}/feed")
+    table = _engine(spark).register(VALUES)
+    tail.ingest(tail.tail(spark, f"{base}/feed", VALUES), table, f"{base}/state", "feed").awaitTermination()
+    return table.rows()
+
+
 # Placement and latency
 
 
