@@ -24,6 +24,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP2_SQL = r"""
+with docs as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+words as (select rid, len(ws) n, unnest(ws) word, unnest(range(1, len(ws) + 1)) i from docs),
+windows as (select *, case when i + 34 <= n then string_agg(word, ' ') over (partition by rid order by i rows between current row and 34 following) end win from words),
+repeated as (select win from windows where win is not null group by win having count(*) > 1),
+marked as (select w.*, r.win is not null as again from windows w left join repeated r on w.win = r.win),
+covered as (select *, max(case when again then 1 else 0 end) over (partition by rid order by i rows between 34 preceding and current row) gone from marked),
+done as (select rid, count(*) n_words, sum(gone) n_removed, string_agg(word, ' ' order by i) filter (where gone = 0) kept from covered group by rid)
+select doc_id, coalesce(n_words, 0)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from docs left join done using (rid)
+"""
+
+
 def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
 
@@ -103,4 +115,4 @@ from ruled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_multiset_fingerprint, op4_simhash_dedup, op5_quality_gam, op6_language_crf, op7_stratified_interleave, op8_byte_bpe, op9_benchmark_decontamination, op10_url_filter)}
 
-ORACLES: dict[str, str] = {"op10_url_filter": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op10_url_filter": OP10_SQL}
