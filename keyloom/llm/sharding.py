@@ -8,7 +8,8 @@ land in the same place. All rows in order of the fraction are then cut into runs
 Neither order is made in one task. Ranks within a source come from its hash range: rows are counted by
 (source, bucket of the hash), running sums over those counts give each bucket's first rank, and only rows
 of one bucket are sorted together. The global order is made likewise from buckets of the fraction. A
-bucket holds about ``bucket_rows`` rows however large a source is, as both are uniform. Only ids, sizes
+bucket holds about ``bucket_rows`` rows however large a source is, as both are uniform (more only beyond
+``most_buckets`` times as many rows, so that the running sums stay small). Only ids, sizes
 and checksums are moved, never text.
 
 Defined results: a null or empty text has size 8 and checksum 0; null source is a stratum of its own; null
@@ -37,7 +38,7 @@ def _before(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("n").over(window), F.lit(0)))
 
 
-def interleave(docs: DataFrame, shards: int = 24, seed: int = 1, bucket_rows: int = 50_000) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = 24, seed: int = 1, bucket_rows: int = 5_000, most_buckets: int = 1_000_000) -> DataFrame:
     """doc_id, size, text_crc32, source, law, shard, slot (from 0 in each shard, in the interleaved order)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     id_ = F.col("doc_id").cast("long")
@@ -45,7 +46,7 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 1, bucket_rows: in
     stratum = F.when(name.isNull(), "-").otherwise(F.concat(F.lit("+"), name))
     size, check = (F.octet_length(text) + 8).cast("long"), F.crc32(text)
     total = docs.count()
-    buckets = max(1, -(-total // bucket_rows))
+    buckets = min(most_buckets, max(1, -(-total // bucket_rows)))
 
     light = docs.select(id_.alias("doc_id"), stratum.alias("stratum"), name.alias("source"), F.struct(F.xxhash64(F.lit(seed), id_).alias("h")).alias("k"), size.alias("size"), check.alias("text_crc32"))
     light = light.withColumn("bucket", F.floor(F.shiftrightunsigned("k.h", 32).cast("double") / UNIT * buckets).cast("int"))
