@@ -33,6 +33,8 @@ from keyloom.llm._frames import NULL_ID, doc_key, shuffle_width
 from keyloom.llm._words import U64, Words, mix, ranges_hash
 
 STRONG, LIKE, SHINGLE = 32, 192, 5
+#: Id ranges for each shuffle partition.
+RANGES = 8
 LANES = STRONG + LIKE
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -134,7 +136,8 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     rows = docs.select(doc_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keys = rows.select("key")
     n = shuffle_width(spark)
-    found = keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000).alias("cuts")).first()["cuts"]
+    ranges = RANGES * n  # several for each task, so that tasks come out even
+    found = keys.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")).first()["cuts"]
     cuts = np.unique(np.array(found or [], np.int64))
 
     def least(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
