@@ -9,7 +9,7 @@ normal deviate under the figures below: chi-squared against a uniform alphabet (
 uneven), runs of one character class (ordinary tokens keep to a class; a capital before a small letter counts
 as small), and serial correlation at lag one of
 positions in the alphabet (ordinary neighbours are alike). Their sum, scaled for correlated tests, gives a
-p-value that the token is ordinary.
+p-value that the token is ordinary; a token whose characters are as uneven as ordinary ones stays ordinary.
 
 Short tokens can't be told from words as surely as long ones, so the false-discovery rate is held by
 Benjamini and Hochberg's rule in each encoding and length band (powers of two) on its own, over all
@@ -111,9 +111,12 @@ def candidates(text: Column, base: Column, least: int) -> Column:
         places = F.transform(chars, lambda x: F.instr(F.lit(ALPHABET), x).cast("double"))
         return stage(c, "", size=size, n=n.cast("double"), squares=squares, turns=(runs - 1).cast("double"), v=places)
 
+    def averaged(c: Column) -> Column:
+        # a step of its own: within the next one's lambda it would be summed anew for every character
+        return stage(c, "size n squares turns v", mean=_sum(c["v"]) / c["n"])
+
     def centred(c: Column) -> Column:
-        mean = _sum(c["v"]) / c["n"]
-        return stage(c, "size n squares turns", v=F.transform(c["v"], lambda x: x - mean))
+        return stage(c, "size n squares turns", v=F.transform(c["v"], lambda x: x - c["mean"]))
 
     def correlated(c: Column) -> Column:
         v = c["v"]
@@ -127,15 +130,17 @@ def candidates(text: Column, base: Column, least: int) -> Column:
         z1 = (chi - (k - 1 + n * more)) / F.sqrt(2 * (k - 1) + 4 * n * more + 4 * n * k * k * SAME_SPREAD)
         z2 = ((n - 1) * CHANGE - c["turns"]) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE))
         z3 = (F.when(c["whole"] > 0, c["lag"] / c["whole"]).otherwise(1.0) - SERIAL) * F.sqrt(n - 1) / (1 - SERIAL * SERIAL)
-        return stage(c, "size", band=F.floor(F.log2(n)).cast("int"), z=(z1 + z2 + z3) / (3 + 6 * BETWEEN) ** 0.5)
+        return stage(c, "size", band=F.floor(F.log2(n)).cast("int"), z1=z1, z=(z1 + z2 + z3) / (3 + 6 * BETWEEN) ** 0.5)
 
     def placed(c: Column) -> Column:
-        return stage(c, "size band", a=F.least(F.greatest(-c["z"], F.lit(0.0)), F.lit(30.0)))
+        # characters as uneven as ordinary ones (a repeated pattern, say) aren't random in whatever order
+        far = F.when(c["z1"] < 0, F.least(F.greatest(-c["z"], F.lit(0.0)), F.lit(30.0))).otherwise(0.0)
+        return stage(c, "size band", a=far)
 
     def binned(c: Column) -> Column:
         return stage(c, "size band", bin=F.least(F.lit(TOP_BIN), F.floor(_lower_tail(c["a"]) * BINS_A_DECADE).cast("int")))
 
-    for step in (counted, centred, correlated, summed, placed, binned):
+    for step in (counted, averaged, centred, correlated, summed, placed, binned):
         raw = F.transform(raw, step)
     return raw
 

@@ -33,6 +33,7 @@ def corpus():
         rows.append((i, f"some words {s}, and more words"))
         secrets[i] = (11, 11 + len(s))
     rows.append((90, "see version2-of-the-handbook-chapter-seven and my_variable_name_is_long2 getTheUserByIdentifierAndName"))
+    rows.append((91, "AbCd0123/" * 30_000))  # one long token
     return rows + [rows[3], rows[3]], secrets
 
 
