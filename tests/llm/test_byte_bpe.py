@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import public_tokenizers
-import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
