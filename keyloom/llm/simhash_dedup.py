@@ -11,9 +11,9 @@ Every shard is searched by the same trees over whole fingerprints down to small
 compared completely. A shard returns a spanning forest of its links, not pairs, so a group of k near
 copies costs k rows; distributed components join the shards' forests.
 
-The tree's nodes come from a bounded sample of fingerprints (``sample``) and only steer where rows go: no
-link depends on them. Larger inputs get deeper trees up to the sample's size, then larger shards, which
-split again inside their task.
+The tree's nodes come from a bounded sample of fingerprints (``sample`` of them, or one in ``SPARSE`` if that is
+more, up to ``most``) and only steer where rows go: no link depends on them. Larger inputs get deeper trees up
+to the sample's size, then larger shards, which split again inside their task.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; null doc_id
 counts as absent when the smallest is taken (a component of nulls has a null id); repeated rows and ties
@@ -38,6 +38,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
 HALF = np.uint64(0xFFFFFFFF)
 BLOCK = 256
+#: Distinct fingerprints for each one in the sample, once there are many.
+SPARSE = 1 << 14
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -143,10 +145,10 @@ def forest(values: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     return labels
 
 
-def links(classes: DataFrame, radius: int, sample: int, shard: int) -> DataFrame:
+def links(classes: DataFrame, radius: int, sample: int, most: int, shard: int) -> DataFrame:
     """a, b: a spanning forest of the links between the distinct values of the column fp."""
     total = classes.count()
-    drawn = classes.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    drawn = classes.orderBy(F.xxhash64("fp"), "fp").limit(min(most, max(sample, total // SPARSE))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     leaf = max(4.0, shard * len(drawn) / max(total, 1))
     trees = [Tree(drawn >> np.uint64(32), leaf, 1), Tree(drawn & HALF, leaf, 2)]
 
@@ -170,11 +172,11 @@ def links(classes: DataFrame, radius: int, sample: int, shard: int) -> DataFrame
     return rows.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, sample: int = 4096, shard: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, sample: int = 4096, most: int = 1 << 16, shard: int = 2048) -> DataFrame:
     """doc_id, tag, fp, fingerprint (hex), component_id, root (a fingerprint that names the component)."""
     marked = durable(fingerprints(docs, size))
     classes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes, radius, sample, shard))
+    roots = components(links(classes, radius, sample, most, shard))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     out = marked.join(named.join(least, "root").select("fp", "component_id", "root"), "fp")
