@@ -373,7 +373,7 @@ def ring_balance(spark, sf_dir):
   order by value, event_id) - 1 i, count(*) over (partition by event_type) n from events)
 where i = least(cast(ceil(n * 0.99::double) as bigint), n - 1)""")
 def bench_percentiles(spark, sf_dir):
-    return latency.percentile(load(spark, sf_dir, "events"), ["event_type"], "value", 0.99, "event_id").withColumnRenamed("value", "p99")
+    return latency.percentile(load(spark, sf_dir, "events"), ["event_type"], "value", 0.99).withColumnRenamed("value", "p99")
 
 
 @query("""select event_type, count(*) n, min(value) "min", max(value) "max",
@@ -386,4 +386,4 @@ def bench_report(spark, sf_dir):
     """All percentiles of samples that two workers took."""
     events = load(spark, sf_dir, "events")
     both = latency.merge([events.where("event_id % 2 = 0"), events.where("event_id % 2 <> 0")])
-    return latency.report(both, ["event_type"], "value", "event_id").drop("average", "total")
+    return latency.report(both, ["event_type"], "value").drop("average", "total")

@@ -32,7 +32,7 @@ def test_ring_is_balanced_and_stable(spark):
 def test_percentiles_and_regressions(spark, tmp_path):
     values = [5.0, 1.0, 4.0, 2.0, 3.0, 9.0, 9.0]
     frame = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "g int, i int, v double")
-    (got,) = latency.report(frame, ["g"], "v", "i").collect()
+    (got,) = latency.report(frame, ["g"], "v").collect()
     at = lambda p: sorted(values)[min(math.ceil(len(values) * p), len(values) - 1)]
     assert (got.p99, got.p90, got.p50, got.min, got.max, got.n) == (at(0.99), at(0.9), at(0.5), 1.0, 9.0, 7)
     path = str(tmp_path / "b.json")
@@ -42,6 +42,22 @@ def test_percentiles_and_regressions(spark, tmp_path):
     assert change["q"]["regression"] and not change["r"]["regression"] and "new" not in change
 
 
+def test_percentiles_of_large_groups_with_ties_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(latency, "SMALL", 50)
+    monkeypatch.setattr(latency, "ACCURACY", 100)
+    rng = np.random.default_rng(2)
+    groups = {1: rng.normal(size=3000).tolist(), None: [7.0] * 900 + rng.integers(0, 5, 400).astype(float).tolist(), 3: [2.5], 4: rng.exponential(size=49).tolist()}
+    rows = [(g, v) for g, values in groups.items() for v in values] + [(1, None)] * 40 + [(5, None)]
+    frame = spark.createDataFrame(rows, "g int, v double").repartition(7)
+    got = {r.g: r for r in latency.report(frame, ["g"], "v").collect()}
+    assert got.keys() == groups.keys()
+    for g, values in groups.items():
+        at = lambda p: sorted(values)[min(math.ceil(len(values) * p), len(values) - 1)]  # noqa: B023, E731
+        assert (got[g].n, got[g].min, got[g].max) == (len(values), min(values), max(values))
+        assert {k: got[g][k] for k in latency.PERCENTILES} == {k: at(p) for k, p in latency.PERCENTILES.items()}
+    assert latency.percentile(frame.where("g = 9"), ["g"], "v", 0.5).collect() == []
+
+
 def test_csv_by_schema(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType())])
     (tmp_path / "a.csv").write_text('id,title\n1,"a ""b"",\nc"\nx,bad\n3,d\n')
