@@ -208,17 +208,20 @@ class Table:
             touched = {r["b"] for r in found}
             state = replay.state(self.definition, log, self.snapshot(touched))
             version = manifest["next_version"]
-            alive = self._write(version, state, len(touched))
+            alive = self._write(version, state)
             versions = {b: v for b, v in manifest["versions"].items() if int(b) not in touched} | {str(b): version for b in alive}
             seq = max([manifest["next_seq"], *(r["last"] for r in found)])
             self.store.publish(CURRENT, manifest | {"versions": versions, "first": upto, "next_version": version + 1, "next_seq": seq})
             return version
 
-    def _write(self, version: int, rows: DataFrame, n: int) -> list[int]:
-        """Write buckets of a version, one file or so each; returns those that have rows."""
+    def _write(self, version: int, rows: DataFrame) -> list[int]:
+        """Write buckets of a version; returns those that have rows.
+
+        Adaptive execution splits a large bucket among tasks (a sorted file each) and lets small ones share one.
+        """
         folder = f"snapshots/v={version}"
         bucket = self.definition.bucket(self.manifest()["buckets"])
-        dealt = rows.withColumn("b", bucket).repartition(max(1, n), "b").sortWithinPartitions("b", *self.definition.identity)
+        dealt = rows.withColumn("b", bucket).hint("rebalance", F.col("b")).sortWithinPartitions("b", *self.definition.identity)
         dealt.write.mode("overwrite").partitionBy("b").parquet(self.store.url(folder))
         return [int(x.removeprefix("b=")) for x in self.store.names(folder) if x.startswith("b=")]
 
@@ -242,7 +245,7 @@ class Table:
             moving = {int(b) for b, v in manifest["versions"].items() if v in worn}
             if moving:
                 version = manifest["next_version"]
-                alive = self._write(version, self.snapshot(moving), len(moving))
+                alive = self._write(version, self.snapshot(moving))
                 versions = manifest["versions"] | {str(b): version for b in alive}
                 manifest |= {"versions": versions, "next_version": version + 1}
                 self.store.publish(CURRENT, manifest)
