@@ -54,18 +54,20 @@ def get(table: TableDef, rows: DataFrame, keys, where: Column | None = None, lim
     return limited(table, found, limit, compat_limit)
 
 
-def limited(table: TableDef, found: DataFrame, limit: int | None, compat: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+def limited(table: TableDef, found: DataFrame, limit: int | None, compat: bool = False) -> DataFrame:
+    """The first rows in the order of the request and the sort columns; compat keeps every key's first row besides."""
     if limit is None:
         return found
-    order = ["_pos", *table.sort]
-    if not by and not compat:
-        return found.orderBy(*order).limit(limit)
-    ranked = found.withColumn("_g", F.row_number().over(Window.partitionBy(*(by or (F.lit(0),))).orderBy(*order)))
-    keep = F.col("_g") <= limit
-    if compat:
-        ranked = ranked.withColumn("_p", F.row_number().over(Window.partitionBy(*by, "_pos").orderBy(*table.sort or ["_pos"])))
-        keep = keep | (F.col("_p") == 1)
-    return ranked.where(keep).drop("_g", "_p")
+    if not compat:
+        return found.orderBy("_pos", *table.sort).limit(limit)
+    # a row's place is the rows of the keys before its own (a count for each key) and its place in its key
+    counts = found.groupBy("_pos").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("_pos", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_pos").orderBy(*(table.sort or ["_pos"]))
+    ranked = found.withColumn("_p", F.row_number().over(own)).join(firsts, "_pos")
+    keep = (F.col("_before") + F.col("_p") <= limit) | (F.col("_p") == 1)
+    return ranked.where(keep).select(*found.columns)
 
 
 def order_of(table: TableDef, found: DataFrame) -> DataFrame:
