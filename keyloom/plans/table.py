@@ -52,6 +52,15 @@ class Table:
         finally:
             self.store.unlock(LOCK)
 
+    def break_lock(self) -> None:
+        """Remove the lock of a writer that died; its unfinished batch or version stays unseen.
+
+        For an operator who knows that no writer is at work: nothing here tells a slow writer from a dead one.
+        """
+        if self.store is not None:
+            self.store.unlock(LOCK)
+            self._seq = None
+
     def generations(self) -> list[int]:
         """Uncompacted generations of the log, whichever of them were closed."""
         first = self.manifest()["first"]
