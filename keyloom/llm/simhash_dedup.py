@@ -18,6 +18,9 @@ to the sample's size, then larger shards, which split again inside their task.
 Defined results: null and empty texts have fingerprint zero and link like any other; null doc_id
 counts as absent when the smallest is taken (a component of nulls has a null id); repeated rows and ties
 share a component; other columns are ignored; an empty table gives no rows.
+
+With a ``similarity``, keep_one() besides joins all texts that have this share of their five-word shingles in common,
+however far their fingerprints lie (near_copies).
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.llm import near_copies
 from keyloom.llm._components import components
 from keyloom.llm._frames import durable, pieces
 
@@ -60,15 +64,16 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, tag (of the text, to tell rows with one id apart), fp long."""
+def fingerprints(docs: DataFrame, size: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, tag (of the text, to tell rows with one id apart), fp long; more: long columns that come along."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t, size) for t in texts], pa.int64())], ["doc_id", "tag", "fp"])
+            fp = pa.array([fingerprint(t, size) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, *batch.columns[3:]], ["doc_id", "tag", "fp", *more])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, tag int, fp long")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"), *more)
+    return picked.mapInArrow(run, ", ".join(["doc_id long, tag int, fp long", *(f"{c} long" for c in more)]))
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -172,20 +177,29 @@ def links(classes: DataFrame, radius: int, sample: int, most: int, shard: int) -
     return rows.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, sample: int = 4096, most: int = 1 << 16, shard: int = 2048) -> DataFrame:
-    """doc_id, tag, fp, fingerprint (hex), component_id, root (a fingerprint that names the component)."""
-    marked = durable(fingerprints(docs, size))
+def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, sample: int = 4096, most: int = 1 << 16, shard: int = 2048, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, tag, fp, fingerprint (hex), component_id, root (a fingerprint that names the component), more."""
+    marked = durable(fingerprints(docs, size, more))
     classes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes, radius, sample, most, shard))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     out = marked.join(named.join(least, "root").select("fp", "component_id", "root"), "fp")
-    return out.select("doc_id", "tag", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    return out.select("doc_id", "tag", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *more)
+
+
+def similar(docs: DataFrame, similarity: float, **params) -> DataFrame:
+    """doc_id, tag, root (a text's hash that names the component): by fingerprints or by shared five-word shingles."""
+    found = durable(near_duplicates(docs.withColumn("_unit", near_copies.unit()), more=("_unit",), **params).select("doc_id", "tag", "root", F.col("_unit").alias("unit")))
+    least = found.groupBy("root").agg(F.min("unit").alias("b"))
+    known = durable(found.select("unit", "root").distinct().join(least, "root").select(F.col("unit").alias("a"), "b"))
+    roots = components(known.union(near_copies.links(docs, known, similarity)))
+    return found.select("doc_id", "tag", "unit").join(roots, F.col("unit") == F.col("node"), "left").select("doc_id", "tag", F.coalesce("root", "unit").alias("root"))
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float | None = None, **params) -> DataFrame:
     """The rows of docs that stay, unchanged: of each component the first by doc_id, then by the text's tag."""
-    found = near_duplicates(docs, **params)
+    found = near_duplicates(docs, **params) if similarity is None else similar(docs, similarity, **params)
     picked = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first"))
     stay = picked.select(F.col("first.doc_id").alias("_id"), F.col("first.tag").alias("_tag"))
     same = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (F.hash(docs["text"]) == stay["_tag"]), "left_semi")
