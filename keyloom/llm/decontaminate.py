@@ -9,7 +9,8 @@ exactly from the block's postings. There is no top-k: all that reach the thresho
 run over arrays, many passages at a time, instead of moving one cursor at a time. What is retrieved
 is verified: of the question's and of the answer's five-word shingles, each taken alone, at least
 ``overlap`` must be in the passage. Without columns question and answer, an item's first two thirds of
-words are its question and the rest its answer.
+words are its question and the rest its answer; with ``whole``, such an item is also held where ``overlap`` of
+the shingles of its whole text are in the passage, whatever its parts have.
 
 Words are lower-cased (A to Z) and cut at white space and ASCII punctuation.
 
@@ -40,7 +41,7 @@ K1, B = 1.2, 0.75
 #: Items in a block.
 BLOCK = 16
 SHINGLE = 5
-SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
 
 
 class Index:
@@ -109,20 +110,20 @@ class Index:
             for i, j in zip(*np.nonzero(score >= least), strict=True):
                 yield int(passage[rows[first[i]]]), k * BLOCK + int(j), float(score[i, j])
 
-    def overlaps(self, item: int, words: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and the answer's shingles that the words have; a part without words is all there."""
+    def overlaps(self, item: int, words: np.ndarray) -> tuple[float, float, float]:
+        """Shares of the question's, the answer's and the whole item's shingles that the words have; a part without words is all there."""
         shares = []
-        for part in self.parts[item]:
+        for part in (*self.parts[item], np.concatenate(self.parts[item])):
             size = min(SHINGLE, len(part))
             if not size:
                 shares.append(1.0)
                 continue
             own = np.unique(grams(part, size))
             shares.append(float(np.isin(own, grams(words, size)).mean()))
-        return shares[0], shares[1]
+        return shares[0], shares[1], shares[2]
 
 
-def hits(index: Index, texts: list[bytes], threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
+def hits(index: Index, texts: list[bytes], threshold: float, overlap: float, whole: bool = False) -> Iterator[tuple[int, int, float, float, float, float]]:
     """document, item, score, overlaps: of each item that a document holds, the best passage that is verified."""
     words = Words(texts, FOLD)
     hashes = words.hashes()
@@ -144,15 +145,15 @@ def hits(index: Index, texts: list[bytes], threshold: float, overlap: float) ->
     for p, item, score in index.search(passage, term, threshold):
         d = int(np.searchsorted(base, p, "right")) - 1
         low = int(words.first[d]) + (p - int(base[d])) * step
-        q, a = index.overlaps(item, hashes[low : min(low + 2 * step, int(words.first[d + 1]))])
-        if q >= overlap and a >= overlap:
-            best[d, item] = max(best.get((d, item), (0.0,)), (score, q, a))
-    for (d, item), (score, q, a) in sorted(best.items()):
-        yield d, item, score, q, a
+        q, a, every = index.overlaps(item, hashes[low : min(low + 2 * step, int(words.first[d + 1]))])
+        if (q >= overlap and a >= overlap) or (whole and every >= overlap):
+            best[d, item] = max(best.get((d, item), (0.0,)), (score, q, a, every))
+    for (d, item), found in sorted(best.items()):
+        yield d, item, *found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, block_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap: each item that a document holds."""
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, block_bytes: int = 1 << 20, whole: bool = False) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap, overlap (of the whole): each item that a document holds."""
     split = {"question", "answer"} <= set(items.columns)
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (("question", "answer") if split else ("text",))] + [F.lit("")] * (not split)
     listed = items.select(F.col("item_id").cast("long").alias("item_id"), parts[0].alias("q"), parts[1].alias("a"))
@@ -164,18 +165,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, over
         mine = listed.where(F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(n_portions)) == k).orderBy("item_id", "q", "a").collect()
         index = Index([(r.item_id, r.q.encode(), r.a.encode()) for r in mine])
         sent = docs.sparkSession.sparkContext.broadcast(index)
-        one = source.mapInArrow(functools.partial(_scan, sent, threshold, overlap), SCHEMA)
+        one = source.mapInArrow(functools.partial(_scan, sent, threshold, overlap, whole and not split), SCHEMA)
         found = one if found is None else found.union(one)
     return found
 
 
-def _scan(sent, threshold: float, overlap: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(sent, threshold: float, overlap: float, whole: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = sent.value
     for batch, texts in pieces(batches):
-        if rows := list(hits(index, texts, threshold, overlap)):
-            doc, item, score, q, a = zip(*rows, strict=True)
-            columns = [batch.column(0).take(pa.array(doc)), pa.array([index.ids[i] for i in item], pa.int64()), *(pa.array(x, pa.float64()) for x in (score, q, a))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+        if rows := list(hits(index, texts, threshold, overlap, whole)):
+            doc, item, *shares = zip(*rows, strict=True)
+            columns = [batch.column(0).take(pa.array(doc)), pa.array([index.ids[i] for i in item], pa.int64()), *(pa.array(x, pa.float64()) for x in shares)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "overlap"])
 
 
 def clean(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
