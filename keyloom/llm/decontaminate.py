@@ -154,20 +154,24 @@ def hits(index: Index, texts: list[bytes], threshold: float, overlap: float, who
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, block_bytes: int = 1 << 20, whole: bool = False) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, overlap (of the whole): each item that a document holds."""
+    sent, whole = _indexes(docs, items, block_bytes, whole)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return functools.reduce(DataFrame.union, [source.mapInArrow(functools.partial(_scan, one, threshold, overlap, whole), SCHEMA) for one in sent])
+
+
+def _indexes(docs: DataFrame, items: DataFrame, block_bytes: int, whole: bool) -> tuple[list, bool]:
+    """The broadcast index of each portion of the items, and whether their whole texts count."""
     split = {"question", "answer"} <= set(items.columns)
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (("question", "answer") if split else ("text",))] + [F.lit("")] * (not split)
     listed = items.select(F.col("item_id").cast("long").alias("item_id"), parts[0].alias("q"), parts[1].alias("a"))
     size = F.octet_length("q") + F.octet_length("a")
     n_portions = -(-int(listed.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) * 2 // block_bytes) or 1
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = None
+    sent = []
     for k in range(n_portions):
         mine = listed.where(F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(n_portions)) == k).orderBy("item_id", "q", "a").collect()
         index = Index([(r.item_id, r.q.encode(), r.a.encode()) for r in mine])
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-        one = source.mapInArrow(functools.partial(_scan, sent, threshold, overlap, whole and not split), SCHEMA)
-        found = one if found is None else found.union(one)
-    return found
+        sent.append(docs.sparkSession.sparkContext.broadcast(index))
+    return sent, whole and not split
 
 
 def _scan(sent, threshold: float, overlap: float, whole: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +183,17 @@ def _scan(sent, threshold: float, overlap: float, whole: bool, batches: Iterable
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "overlap"])
 
 
-def clean(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
-    """The rows of docs whose id holds no item, unchanged."""
-    found = contaminated(docs, items, **params).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, block_bytes: int = 1 << 20, whole: bool = False) -> DataFrame:
+    """The rows of docs whose own text holds no item, unchanged; rows with the same id are judged each by its text."""
+    sent, whole = _indexes(docs, items, block_bytes, whole)
+    for one in sent:
+        docs = docs.mapInArrow(functools.partial(_without, one, threshold, overlap, whole), docs.schema)
+    return docs
+
+
+def _without(sent, threshold: float, overlap: float, whole: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    index = sent.value
+    for batch, texts in pieces(batches):
+        held = np.zeros(len(texts), bool)
+        held[[row[0] for row in hits(index, texts, threshold, overlap, whole)]] = True
+        yield batch.filter(pa.array(~held))
