@@ -54,6 +54,11 @@ def get(table: TableDef, rows: DataFrame, keys, where: Column | None = None, lim
     return limited(table, found, limit, compat_limit)
 
 
+def get_many(table: TableDef, rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of a frame of keys, each row of it answered."""
+    return rows.join(keys.select(*table.key), list(table.key)).select(*table.schema.names)
+
+
 def limited(table: TableDef, found: DataFrame, limit: int | None, compat: bool = False) -> DataFrame:
     """The first rows in the order of the request and the sort columns; compat keeps every key's first row besides."""
     if limit is None:

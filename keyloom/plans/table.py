@@ -186,7 +186,7 @@ class Table:
 
     def get_many(self, keys: DataFrame) -> DataFrame:
         """The rows of a frame of keys, each row of it answered."""
-        return self.rows().join(keys, list(self.definition.key)).select(*self.definition.schema.names)
+        return read.get_many(self.definition, self.rows(), keys)
 
     # Maintenance
 
