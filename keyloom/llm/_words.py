@@ -7,6 +7,9 @@ values: with prefix sums, the hash of any range of bytes or words costs two look
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 U64 = np.uint64
@@ -15,6 +18,8 @@ IS_SPACE[[32, *range(9, 14)]] = True
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 BYTE_VALUES = np.random.default_rng(20240117).integers(1, 2**64, 256, dtype=U64)
 TOP = U64(2**64 - 1)
+#: Bytes or words that are hashed at once; results don't depend on it.
+STRETCH = 1 << 17
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -49,6 +54,15 @@ def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return (sums[ends] - sums[starts]) * down[starts]
 
 
+def long_hash(values: np.ndarray, base: int = BASES[0]) -> int:
+    """ranges_hash of all the values, stretch by stretch."""
+    total = 0
+    for low in range(0, len(values), STRETCH):
+        part = BYTE_VALUES[values[low : low + STRETCH]]
+        total += int((part * powers(STRETCH, base)[0][: len(part)]).sum(dtype=U64)) * pow(base, low, 2**64)
+    return total % 2**64
+
+
 def slide(a: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """out[i] = pick over a[i : i + width], or as far as a goes."""
     out, span = a.copy(), 1
@@ -61,14 +75,21 @@ def slide(a: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 class Words:
-    """starts, ends: of each word in buffer; first: index of each document's first word, and the count at the end."""
+    """starts, ends: of each word in buffer; first: index of each document's first word, and the count at the end.
+
+    Besides the buffer it holds about 16 bytes a word; what is derived from bytes is made stretch by stretch, so that
+    one very long text needs some ten times its size, not more.
+    """
 
     def __init__(self, texts: list[bytes], translate: bytes | None = None):
         joined = b" " + b" ".join(texts) + b" "
         self.buffer = joined.translate(translate) if translate else joined
         self.bytes = np.frombuffer(self.buffer, np.uint8)
-        space = IS_SPACE[self.bytes]
-        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edges = []
+        for low in range(0, len(self.bytes) - 1, STRETCH):
+            space = IS_SPACE[self.bytes[low : low + STRETCH + 1]]
+            edges.append(np.flatnonzero(space[1:] != space[:-1]) + (low + 1))
+        edges = np.concatenate(edges)
         self.starts, self.ends = edges[0::2], edges[1::2]
         begin = np.cumsum([1, *(len(t) + 1 for t in texts)])
         self.begin = begin
@@ -76,8 +97,18 @@ class Words:
         self.n = len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        h = ranges_hash(BYTE_VALUES[self.bytes], self.starts, self.ends)
-        return mix(h + (self.ends - self.starts).astype(U64) * U64(BASES[1]))
+        out = np.empty(self.n, U64)
+        groups = np.unique(np.searchsorted(self.starts, np.arange(0, len(self.bytes) + STRETCH, STRETCH)))
+        for i, j in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
+            low, last = int(self.starts[i]), j
+            if self.ends[j - 1] - low > 4 * STRETCH:  # only a group's last word reaches beyond its stretch
+                last = j - 1
+                out[last] = long_hash(self.bytes[self.starts[last] : self.ends[last]])
+            if last > i:
+                values = BYTE_VALUES[self.bytes[low : self.ends[last - 1]]]
+                out[i:last] = ranges_hash(values, self.starts[i:last] - low, self.ends[i:last] - low)
+        out += (self.ends - self.starts).astype(U64) * U64(BASES[1])
+        return mix(out)
 
     def docs(self) -> np.ndarray:
         """Document index of each word."""
@@ -93,7 +124,26 @@ class Words:
 
 def grams(hashes: np.ndarray, k: int, base: int = BASES[0]) -> np.ndarray:
     """Hash of the k words from each word on; the last k - 1 entries are missing."""
-    if len(hashes) < k:
-        return np.zeros(0, U64)
-    at = np.arange(len(hashes) - k + 1)
-    return ranges_hash(hashes, at, at + k, base)
+    out = np.empty(max(0, len(hashes) - k + 1), U64)
+    for low in range(0, len(out), STRETCH):
+        at = np.arange(min(STRETCH, len(out) - low))
+        out[low : low + STRETCH] = ranges_hash(hashes[low : low + len(at) + k - 1], at, at + k, base)
+    return out
+
+
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def stretches(text: bytes, overlap: int, size: int = 1 << 20) -> Iterator[bytes]:
+    """Runs of whole words, of about size bytes, that make up the text; each begins with the last words of those before, overlap of them."""
+    if len(text) <= 2 * size:
+        yield text
+        return
+    low, tail = 0, b""
+    while low < len(text):
+        gap = _GAP.search(text, low + size)
+        high = gap.start() if gap else len(text)
+        part = tail + text[low:high]
+        yield part
+        tail = b"".join(w + b" " for w in part.rsplit(None, overlap)[-overlap:]) if overlap else b""
+        low = high

@@ -87,25 +87,46 @@ def test_matches_brute_force(spark):
     assert sorted(str(r.doc_id) for r in dc.clean(docs, bench).collect()) == sorted(str(i) for i, _ in rows if i not in dirty)
 
 
-def test_blocks_of_items_find_the_same_copies(spark):
+def test_rows_and_scores_do_not_depend_on_the_parts(spark):
     rows, items = corpus()
-    docs, bench = frames(spark, rows, items)
-    assert {x[:2] for x in found(dc.contaminated(docs, bench, block_bytes=5000))} >= {x[:2] for x in brute(rows, items, threshold=0.6)}
+    docs, bench = frames(spark, rows, items + [items[3]] * 60)
+    exact = lambda frame: sorted(map(tuple, frame.collect()), key=str)
+    want = exact(dc.contaminated(docs, bench, whole=True))
+    assert len(want) > 15
+    for part_bytes in (20_000, 3_000, 400):
+        assert exact(dc.contaminated(docs, bench, part_bytes=part_bytes, whole=True)) == want
 
 
-def test_search_finds_all_above_the_threshold():
+def test_search_finds_all_above_the_threshold(monkeypatch):
     rng = random.Random(2)
     items = [(i, " ".join(f"t{min(int(rng.expovariate(0.08)), 90)}" for _ in range(rng.randint(3, 20))).encode(), b"") for i in range(700)]
     index = dc.Index(items)
+    n, mean = len(items), sum(len(t.split()) for _, t, _ in items) / len(items)
+    number = {int(h): k for k, h in enumerate(index.terms)}
+    vocabulary = sorted({w for _, t, _ in items for w in t.split()})
+    of = {w: number[int(h)] for w, h in zip(vocabulary, dc.Words(vocabulary).hashes(), strict=True)}
+    df = Counter(of[w] for _, t, _ in items for w in set(t.split()))
+    shares = {}
+    for i, t, _ in items:
+        tf = Counter(of[w] for w in t.split())
+        c = {x: math.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(t.split()) / mean)) for x, f in tf.items()}
+        shares[i] = {x: v / sum(c.values()) for x, v in c.items()}
     queries = [sorted(rng.sample(range(len(index.terms)), 25)) for _ in range(60)]
     pairs = np.array([(3 * i, t) for i, terms in enumerate(queries) for t in terms])
-    for threshold in (0.2, 0.5, 0.8):
-        want = set()
-        for i, terms in enumerate(queries):
-            for k, weights in enumerate(index.postings):
-                total = weights[index.local[k][terms]].sum(axis=0)
-                want |= {(3 * i, k * dc.BLOCK + j) for j in range(dc.BLOCK) if total[j] >= threshold - 1e-5}
-        assert {x[:2] for x in index.search(pairs[:, 0], pairs[:, 1], threshold)} == want
+    for at_once in (1 << 18, 300):
+        monkeypatch.setattr(dc, "AT_ONCE", at_once)
+        for threshold in (0.2, 0.5, 0.8):
+            want = {(3 * q, i, round(s, 9)) for q, terms in enumerate(queries) for i in shares if (s := sum(shares[i].get(t, 0.0) for t in terms)) >= threshold}
+            assert {(p, index.ids[i], round(s, 9)) for p, i, s in index.search(pairs[:, 0], pairs[:, 1], threshold)} == want
+
+
+def test_passages_are_the_same_however_many_are_searched_at_once(monkeypatch):
+    rows, items = corpus()
+    index = dc.Index([(i, (t or "").encode(), b"") for i, t in items])
+    texts = [(t or "").encode() for _, t in rows]
+    want = list(dc.hits(index, texts, 0.5, 0.8, True))
+    monkeypatch.setattr(dc, "AT_ONCE", 100)
+    assert want and list(dc.hits(index, texts, 0.5, 0.8, True)) == want
 
 
 def test_empty_tables(spark):

@@ -46,8 +46,8 @@ def test_rows_of_one_id_are_judged_each(spark):
     shared = [(None, copy), (None, "clean and without an id"), (None, None), (5, f"a {copy} b"), (5, "clean, same id"), (5, "clean, same id"), (6, "")]
     docs, bench = frames(spark, shared, items)
     want = sorted([(i, t) for i, t in shared if copy not in (t or "")], key=str)
-    for block_bytes in (1 << 20, 5000):
-        kept = dc.clean(docs, bench, block_bytes=block_bytes)
+    for part_bytes in (1 << 20, 3000):
+        kept = dc.clean(docs, bench, part_bytes=part_bytes)
         assert kept.schema == docs.schema
         assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == want
     assert sorted((r.text or "" for r in dc.clean(docs, bench.limit(0)).collect())) == sorted(t or "" for _, t in shared)
