@@ -48,8 +48,53 @@ def test_words_of_code_switched_text():
     post = model.posteriors(model.emissions(w), np.arange(w.n)[None], np.ones((1, w.n), bool))[0]
     assert [model.languages[k] for k in post.argmax(axis=1)] == ["en"] * 6 + ["de"] * 7 + ["en"] * 5
     assert (np.diag(model.transitions) > model.transitions.mean()).all()  # it stays more often than it switches
-    names, score = model.predict([b"", b" 12 !! \n", "日".encode(), b"THE HOUSE", b"the " * 50_000, "½²".encode()])
+    names, score, known = model.predict([b"", b" 12 !! \n", "日".encode(), b"THE HOUSE", b"the " * 50_000, "½²".encode()])
     assert names[:2] == ["und", "und"] and names[3:] == ["en", "en", "und"] and score[0] == score[5] == 0 and names[2] in ("de", "en")
+    assert known[3] == 1 and known[0] == known[2] == 0
+
+
+def test_a_long_document_is_one_chain(monkeypatch):
+    model = crf.fit(sample(), chains=300, steps=24, epochs=2)
+    rng = np.random.default_rng(4)
+    pool = b" ".join(t for _, t in sample()).split() + [b"word", b"stra\xc3\x9fe", b"z" * 30]
+    texts = [b" ".join(pool[i] for i in rng.integers(len(pool), size=n)) for n in (200, 1, 0, 64, 65, 130, 449, 3, 64 * 3)]
+    w = crf.Words(texts, crf.FOLD)
+    emission = model.emissions(w)
+    lone = np.stack([model.weights[crf._hashed(code[word == k], 0)].sum(axis=0) for code, word in [crf.trigrams(w, 0, len(w.bytes) - 1)] for k in range(w.n)])
+    lone += sum(model.weights[crf.word_features(w)[:, k]] for k in range(3))
+    assert np.allclose(emission, lone, atol=1e-4)
+    want = np.zeros((len(texts), 2))
+    for d, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
+        if b > a:  # one unbroken chain
+            want[d] = crf.forward_backward(emission, np.arange(a, b)[None], np.ones((1, b - a), bool), model.transitions)[0].sum(axis=(0, 1))
+    for chain, some, blocks in ((64, 1 << 18, 1 << 11), (7, 50, 3), (1, 11, 2)):
+        for name, value in (("CHAIN", chain), ("BYTES", some), ("BLOCKS", blocks)):
+            monkeypatch.setattr(crf, name, value)
+        known = np.zeros((len(texts), 2), np.int64)
+        assert np.allclose(model.emissions(w, known), emission, atol=1e-4)
+        assert np.allclose(crf.chain_sums(emission, w.first, model.transitions), want, atol=1e-7)
+        assert known[:, 1].tolist() == [sum(len(x) for x in t.translate(crf.FOLD).split()) for t in texts]
+        assert (known[:, 0] <= known[:, 1]).all() and known[3, 0] > 0
+
+
+def test_a_change_far_away_reaches_over_blocks():
+    # only the transitions join the words: the last word's evidence must reach the first
+    emission = np.zeros((300, 2))
+    emission[-1] = (9.0, 0.0)
+    first, t = np.array([0, 300]), np.array([[6.0, 0.0], [0.0, 6.0]])
+    whole = crf.chain_sums(emission, first, t)[0]
+    parts = crf.chain_sums(emission, np.array([0, 64, 128, 192, 256, 300]), t).sum(axis=0)
+    assert whole[0] > 225 and parts[0] < 225
+
+
+def test_foreign_text_is_not_known(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    model = crf.train(docs, F.lit(True))
+    foreign = ["Η γρήγορη αλεπού πηδά πάνω από το σκυλί κάθε πρωί", "快速的棕色狐狸跳过懒狗然后回家睡觉", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "Быстрая лиса прыгает через собаку", "xqzv kwjp zzqk vxwq pkjz qqxw"]
+    rows = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in crf.accepted(docs.union(rows), model, least=0.3, known=0.8).collect()}
+    assert not any(-1 - i in kept for i in range(len(foreign)))
+    assert len(kept) > 0.97 * docs.count()
 
 
 def test_held_out_accuracy(spark):
