@@ -1,14 +1,14 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-Each paragraph (line) hashes to a wide vector of 16-bit lanes; a document's fingerprint is their sum modulo
-2**16, lane by lane. So the order of paragraphs doesn't matter, and a paragraph is inserted or deleted
+Each paragraph (line) hashes to a wide vector of 32-bit lanes; a document's fingerprint is their sum modulo
+2**32, lane by lane. So the order of paragraphs doesn't matter, and a paragraph is inserted or deleted
 by adding or subtracting its vector (``insert``, ``delete``). The vector has two parts:
 
 * ``STRONG`` lanes are a cryptographic digest of the paragraph: equal sums say equal multisets.
 * ``LIKE`` lanes hold +1 or -1 in the lane of each of its five-word shingles (the whole paragraph if it has fewer
   words). The squared length of the difference of two such parts estimates how many shingles the documents
   don't share, so ``likeness`` = 1 - |a - b|^2 / (|a|^2 + |b|^2), cut to 0 to 1. Its standard error for
-  unrelated texts is about sqrt(2 / LIKE) = 0.1; equal texts give exactly 1.
+  unrelated texts is about sqrt(2 / LIKE) = 0.1; equal texts give exactly 1. A lane wraps only beyond 2**31 equal shingles.
 
 Neighbours in order of doc_id come from one exchange of the texts: rows are dealt into contiguous id ranges
 (limits from approximate quantiles, one number for each range), the first row of each range also goes to the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from keyloom.llm._frames import NULL_ID, doc_key, shuffle_width
 from keyloom.llm._words import U64, Words, mix, ranges_hash
 
-STRONG, LIKE, SHINGLE = 32, 192, 5
+STRONG, LIKE, SHINGLE = 16, 192, 5
 #: Id ranges for each shuffle partition.
 RANGES = 8
 LANES = STRONG + LIKE
@@ -40,16 +40,16 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def vectors(texts: list[bytes]) -> np.ndarray:
-    """The fingerprint of each text, as rows of uint16 lanes."""
-    out = np.zeros((len(texts), LANES), np.uint16)
+    """The fingerprint of each text, as rows of uint32 lanes."""
+    out = np.zeros((len(texts), LANES), np.uint32)
     split = [[p for p in t.split(b"\n") if p] for t in texts]
     paragraphs = [p for ps in split for p in ps]
     if not paragraphs:
         return out
     owner = np.repeat(np.arange(len(texts)), [len(ps) for ps in split])
-    digest = np.frombuffer(b"".join([hashlib.blake2b(p).digest() for p in paragraphs]), "<u2").reshape(-1, STRONG)
+    digest = np.frombuffer(b"".join([hashlib.blake2b(p).digest() for p in paragraphs]), "<u4").reshape(-1, STRONG)
     start = np.flatnonzero(np.diff(owner, prepend=-1))
-    out[owner[start], :STRONG] = np.add.reduceat(digest, start, axis=0, dtype=np.uint16)
+    out[owner[start], :STRONG] = np.add.reduceat(digest, start, axis=0, dtype=np.uint32)
     words = Words(paragraphs)
     hashes, n = words.hashes(), np.diff(words.first)
     left, doc = words.left(), words.docs()
@@ -58,7 +58,7 @@ def vectors(texts: list[bytes]) -> np.ndarray:
     lane = owner[doc[at]] * LIKE + (shingle >> U64(40)).astype(np.int64) % LIKE
     sign = ((shingle & U64(1)).astype(np.int64) << 1) - 1
     likes = np.bincount(lane, sign, minlength=len(texts) * LIKE).astype(np.int64)
-    out[:, STRONG:] = likes.astype(np.uint16).reshape(-1, LIKE)
+    out[:, STRONG:] = likes.astype(np.uint32).reshape(-1, LIKE)
     return out
 
 
@@ -72,8 +72,8 @@ def delete(fingerprint: np.ndarray, paragraph: bytes) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For rows of fingerprints: 1 if equal, near 0 if they share no shingles."""
-    x, y = (np.ascontiguousarray(v[:, STRONG:]).view(np.int16).astype(np.float64) for v in (a, b))
-    apart = (a[:, STRONG:] - b[:, STRONG:]).view(np.int16).astype(np.float64)
+    x, y = (np.ascontiguousarray(v[:, STRONG:]).view(np.int32).astype(np.float64) for v in (a, b))
+    apart = (a[:, STRONG:] - b[:, STRONG:]).view(np.int32).astype(np.float64)
     whole = (x * x).sum(axis=1) + (y * y).sum(axis=1)
     near = np.clip(1 - (apart * apart).sum(axis=1) / np.maximum(whole, 1), 0, 1)
     return np.where((a == b).all(axis=1), 1.0, np.where(whole > 0, near, 0.0))
@@ -137,7 +137,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     keys = rows.select("key")
     n = shuffle_width(spark)
     ranges = RANGES * n  # several for each task, so that tasks come out even
-    found = keys.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")).first()["cuts"]
+    found = keys.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("cuts")).first()["cuts"]
     cuts = np.unique(np.array(found or [], np.int64))
 
     def least(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

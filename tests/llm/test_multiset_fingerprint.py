@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from keyloom.llm import _words as mf_words
 from keyloom.llm import multiset_fingerprint as mf
 
 
@@ -28,11 +29,57 @@ def test_query_matches_brute_force(spark):
     assert sorted(((*r[:5], round(r[5], 9), round(r[6], 9)) for r in map(tuple, got)), key=str) == sorted(want, key=str)
 
 
+def plain_mix(h):
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB % 2**64
+    return h ^ (h >> 31)
+
+
+def plain(text):
+    """Strong and like lanes, one paragraph and one shingle at a time."""
+    base, other = mf_words.BASES
+    value = [int(v) for v in mf_words.BYTE_VALUES]
+    strong, like = [0] * mf.STRONG, [0] * mf.LIKE
+    for line in text.encode().split(b"\n"):
+        if not line:
+            continue
+        digest = hashlib.blake2b(line).digest()
+        strong = [(a + int.from_bytes(digest[4 * k : 4 * k + 4], "little")) % 2**32 for k, a in enumerate(strong)]
+        words = [plain_mix((sum(value[c] * pow(base, i, 2**64) for i, c in enumerate(w)) + len(w) * other) % 2**64) for w in line.split()]
+        size = min(mf.SHINGLE, len(words))
+        for at in range(len(words) - size + 1) if size else ():
+            h = plain_mix(sum(x * pow(base, i, 2**64) for i, x in enumerate(words[at : at + size])) % 2**64)
+            like[(h >> 40) % mf.LIKE] += 1 if h & 1 else -1
+    return strong, like
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    whole = sum(x * x for x in a[1] + b[1])
+    return max(0.0, 1 - sum((x - y) ** 2 for x, y in zip(a[1], b[1], strict=True)) / whole) if whole else 0.0
+
+
+def test_vectors_and_likeness_equal_plain_code():
+    texts = [t or "" for _, t in corpus()[:60]] + ["one two\none two\n three four five six seven", "a\n\nb"]
+    own = mf.vectors([t.encode() for t in texts])
+    want = [plain(t) for t in texts]
+    for v, (strong, like) in zip(own, want, strict=True):
+        assert v.tolist() == strong + [x % 2**32 for x in like]
+    near = mf.likeness(own, np.roll(own, 1, axis=0))
+    assert np.allclose(near, [plain_likeness(a, b) for a, b in zip(want, want[-1:] + want[:-1], strict=True)])
+
+
+def test_a_line_repeated_often():
+    a, b = (mf.vectors([b"one and the same line of words\n" * n]) for n in (40_000, 20_000))
+    assert abs(float(mf.likeness(a, b)[0]) - 0.8) < 1e-9
+
+
 def test_homomorphic():
     lines = [b"one two three four five six seven", b"eight", b"one two three four five six seven", b"nine ten"]
     whole = mf.vectors([b"\n".join(lines)])[0]
     assert (whole == mf.vectors([b"\n".join(lines[::-1])])[0]).all()
-    step = np.zeros(mf.LANES, np.uint16)
+    step = np.zeros(mf.LANES, np.uint32)
     for line in lines:
         step = mf.insert(step, line)
     assert (step == whole).all()
