@@ -13,7 +13,8 @@ Decoding joins bytes up the same tree. Pieces repeat, so each task keeps a bound
 
 Ranks are the lines of a rank file; its path is a parameter, read once on the driver and broadcast (a
 vocabulary's size doesn't grow with the data). Defined results: a null text is empty and has no tokens; special
-tokens are ordinary text; rows, ties and other columns pass through; an empty table gives no rows.
+tokens are ordinary text; rows, ties and other columns pass through (those named n_tokens, ids or decoded, in any case,
+are replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -171,7 +172,7 @@ _codecs: dict = {}
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with n_tokens long, ids string (decimal, joined by a space) and decoded binary (from the ids)."""
     codec = _shared(docs.sparkSession, path, pattern)
-    kept = docs.select([c for c in docs.columns if c not in ("n_tokens", "ids", "decoded")])
+    kept = docs.select([c for c in docs.columns if c.lower() not in ("n_tokens", "ids", "decoded")])
     schema = T.StructType(kept.schema.fields[:]).add("n_tokens", "long").add("ids", "string").add("decoded", "binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

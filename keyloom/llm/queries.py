@@ -64,6 +64,23 @@ def op7_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The byte-wise CRC-32 of the text: its polynomial, reversed, is a fixed value.
+OP7_SQL = f"""
+with steps as (select list(crc order by b) steps from (
+  select b, list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, case when c % 2 = 1 then 3988292384 else 0 end)) crc from range(256) r(b))),
+bytes as (select doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) bytes from documents),
+rows as (select doc_id, case when source is null then '-' else '+' || source end stratum, size,
+  xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(steps[xor(c, b) % 256 + 1], c >> 8)), 4294967295)::bigint text_crc32 from bytes, steps),
+hashed as (select *, ('0x' || substr(md5(concat_ws('|', '1', coalesce(doc_id::varchar, ''), text_crc32, size)), 1, {sharding.HEX_DIGITS}))::bigint h,
+  ('0x' || substr(md5('{1 + sharding.OFFSET_SALT}|' || stratum), 1, {sharding.HEX_DIGITS}))::bigint / {sharding.UNIT!r}::double u from rows),
+ranked as (select *, (row_number() over (partition by stratum order by h, doc_id nulls first, text_crc32, size) - u) / count(*) over (partition by stratum) fraction from hashed),
+placed as (select *, row_number() over (order by fraction, h, stratum, doc_id nulls first, text_crc32, size) - 1 place, count(*) over () n from ranked)
+select doc_id, size::bigint size, text_crc32, 'rows' law, (place * 24 // n)::int shard,
+  (place - (place * 24 // n * n + 23) // 24)::bigint slot, null::int grown_shard from placed
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,14 +96,17 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 #: The rules of the contract: verdict, host, path.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Listed domains: these names under each of the three endings.
+#: Listed domains: these names under each of the three endings, and every host of the pages whose MD5 begins with one of LISTED_DIGITS.
 LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 ENDINGS = ("com", "net", "org")
+LISTED_DIGITS = "05"
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(f"{name}.example.{ending}",) for name in LISTED_NAMES for ending in ENDINGS], "key string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    names = spark.createDataFrame([(f"{name}.example.{ending}",) for name in LISTED_NAMES for ending in ENDINGS], "key string")
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("key")).distinct()
+    listed = names.union(hosts.where(F.substring(F.md5("key"), 1, 1).isin(*LISTED_DIGITS)))
     return url_filter.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -96,6 +116,10 @@ with parts as (
     coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') as host,
     coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') as path
   from pages),
+listed as (select n || '.example.' || e as key from unnest([{", ".join(f"'{n}'" for n in LISTED_NAMES)}]) a(n), unnest([{", ".join(f"'{e}'" for e in ENDINGS)}]) b(e)
+  union select host from parts where host <> '' and substr(md5(host), 1, 1) in ({", ".join(f"'{d}'" for d in LISTED_DIGITS)})),
+parents as (select distinct host, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) as key from (select distinct host from parts)),
+blocked as (select distinct host from parents where key in (select key from listed)),
 ruled as (
   select *, case
     when (host = 'example.com' or suffix(host, '.example.com')) and prefix(path, '/en/7') then 'example.com/en/7'
@@ -107,7 +131,7 @@ ruled as (
 select page_id, host, path, rule, case
     when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block'
     when rule is not null then 'allow'
-    when regexp_matches(host, '(^|[.])({"|".join(LISTED_NAMES)})[.]example[.]({"|".join(ENDINGS)})$') then 'block'
+    when host in (select host from blocked) then 'block'
     else 'allow' end as verdict
 from ruled
 """
@@ -115,4 +139,4 @@ from ruled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_multiset_fingerprint, op4_simhash_dedup, op5_quality_gam, op6_language_crf, op7_stratified_interleave, op8_byte_bpe, op9_benchmark_decontamination, op10_url_filter)}
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op10_url_filter": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op7_stratified_interleave": OP7_SQL, "op10_url_filter": OP10_SQL}

@@ -1,6 +1,7 @@
 """Proportional stratified interleaving: every shard holds each source in the corpus's proportion.
 
-Rows of a source are put into a seeded random order; the row of rank r among n gets the fraction
+Rows of a source are put into a seeded random order (by a hash of id, checksum and size, so that a null or repeated
+id is no hot spot); the row of rank r among n gets the fraction
 ``(r - u) / n``, u being a number in [0, 1) made from the source's name, so that small sources don't all
 land in the same place. All rows in order of the fraction are then cut into runs of equal counts (the
 ``rows`` law: any two shards differ by one row at most).
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 
 #: What the seed of a row's place is mixed with for its source's offset.
 OFFSET_SALT = 7
-UNIT = float(1 << 32)
+#: Hexadecimal digits of a hash that count.
+HEX_DIGITS = 13
+UNIT = float(16**HEX_DIGITS)
 
 
-def _unit(*columns: Column | str) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 32).cast("double") / UNIT
+def _hash(*parts: Column) -> Column:
+    """A number below UNIT from the MD5 of the parts, joined by bars."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, HEX_DIGITS), 16, 10).cast("long")
 
 
 def _before(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
@@ -48,21 +51,22 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 1, bucket_rows: in
     total = docs.count()
     buckets = min(most_buckets, max(1, -(-total // bucket_rows)))
 
-    light = docs.select(id_.alias("doc_id"), stratum.alias("stratum"), name.alias("source"), F.struct(F.xxhash64(F.lit(seed), id_).alias("h")).alias("k"), size.alias("size"), check.alias("text_crc32"))
-    light = light.withColumn("bucket", F.floor(F.shiftrightunsigned("k.h", 32).cast("double") / UNIT * buckets).cast("int"))
+    light = docs.select(id_.alias("doc_id"), stratum.alias("stratum"), name.alias("source"), size.alias("size"), check.alias("text_crc32"))
+    light = light.withColumn("h", _hash(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"), F.col("size").cast("string")))
+    light = light.withColumn("bucket", F.floor(F.col("h") / UNIT * buckets).cast("int"))
     counts = light.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
     all_of = Window.partitionBy("stratum")
     firsts = _before(counts.withColumn("whole", F.sum("n").over(all_of)), ["stratum"], "bucket").select("stratum", "bucket", "before", "whole")
-    inside = Window.partitionBy("stratum", "bucket").orderBy("k.h", "doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("stratum", "bucket").orderBy("h", "doc_id", "text_crc32", "size")
     ranked = light.withColumn("r", F.row_number().over(inside)).join(firsts, ["stratum", "bucket"])
     rank = F.col("before") + F.col("r")
-    fraction = (rank - _unit(F.lit(seed + OFFSET_SALT), F.col("stratum"))) / F.col("whole")
+    fraction = (rank - _hash(F.lit(str(seed + OFFSET_SALT)), F.col("stratum")) / UNIT) / F.col("whole")
     placed = ranked.withColumn("fraction", fraction).withColumn("slice", F.least(F.floor(F.col("fraction") * buckets).cast("int"), F.lit(buckets - 1)))
-    placed = placed.select("doc_id", "source", "stratum", "k", "size", "text_crc32", "fraction", "slice")
+    placed = placed.select("doc_id", "source", "stratum", "h", "size", "text_crc32", "fraction", "slice")
 
     # one row for each slice (buckets of them): a running sum over them needs no row of the table
     slices = _before(placed.groupBy("slice").agg(F.count("*").alias("n")).withColumn("one", F.lit(1)), ["one"], "slice").select("slice", "before")
-    within = Window.partitionBy("slice").orderBy("fraction", "k.h", "stratum", "doc_id", "text_crc32", "size")
+    within = Window.partitionBy("slice").orderBy("fraction", "h", "stratum", "doc_id", "text_crc32", "size")
     position = F.col("before") + F.col("r") - 1
     ordered = placed.withColumn("r", F.row_number().over(within)).join(slices, "slice").withColumn("at", position)
     shard = F.expr(f"(at * {shards}) div {max(total, 1)}")

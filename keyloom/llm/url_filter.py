@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm._frames import durable
+from keyloom.llm._frames import durable, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"://([^/?#]*)([^?#]*)"
@@ -140,7 +140,8 @@ def _alive(keys: DataFrame, levels: list[Bloom], side: bool) -> DataFrame:
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], max_bytes: int = 64 << 20) -> DataFrame:
     """pages with host, path, rule, verdict. listed: a column key of hosts or domains; rules: (verdict, host, path)."""
-    kept = pages.select([c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
+    kept = pages.select([c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")])
+    mark = unused("listed", kept.columns)
     rows = kept.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     universe = rows.select("host").where("host <> ''").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"), F.lit(False).alias("listed"))
     given = listed.select(F.translate(F.col("key").cast("string"), UPPER, LOWER).alias("key"), F.lit(True).alias("listed")).where("key <> ''")
@@ -148,22 +149,22 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     cascade = build(keys, max_bytes)
     if cascade is None:
         hosts = rows.select("host").distinct().select(F.col("host").alias("_host"), F.explode(suffixes(F.col("host"))).alias("key"))
-        found = hosts.join(keys.where("listed"), "key", "left_semi").select("_host").distinct().withColumn("_listed", F.lit(True))
-        marked = rows.join(found, rows["host"] == found["_host"], "left").drop("_host").withColumn("_listed", F.coalesce("_listed", F.lit(False)))
+        found = hosts.join(keys.where("listed"), "key", "left_semi").select("_host").distinct().withColumn(mark, F.lit(True))
+        marked = rows.join(found, rows["host"] == found["_host"], "left").select(*rows.columns, F.coalesce(found[mark], F.lit(False)).alias(mark))
     else:
-        marked = _marked(rows, cascade)
+        marked = _marked(rows, cascade, mark)
     fits = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     rule = verdict = None
     for decision, host, path in fits:
         fit = ((F.col("host") == host) | F.endswith("host", F.lit(f".{host}"))) & F.startswith("path", F.lit(path))
         rule = F.when(fit, host + path) if rule is None else rule.when(fit, host + path)
         verdict = F.when(fit, decision) if verdict is None else verdict.when(fit, decision)
-    method = F.when(F.col("_listed"), "block").otherwise("allow")
+    method = F.when(F.col(mark), "block").otherwise("allow")
     out = {"rule": rule if fits else F.lit(None).cast("string"), "verdict": verdict.otherwise(method) if fits else method}
-    return marked.withColumns(out).drop("_listed")
+    return marked.withColumns(out).drop(mark)
 
 
-def _marked(rows: DataFrame, cascade: Cascade) -> DataFrame:
+def _marked(rows: DataFrame, cascade: Cascade, name: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(cascade)
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +174,6 @@ def _marked(rows: DataFrame, cascade: Cascade) -> DataFrame:
             keys = [".".join(c[k:]).encode() for c in chains for k in range(len(c))]
             start = np.cumsum([0, *map(len, chains)])[:-1]
             hit = np.logical_or.reduceat(sent.value.listed(keys), start) if keys else np.zeros(0, bool)
-            yield batch.append_column("_listed", pa.array(hit[hosts.indices.to_numpy()] if len(hit) else np.zeros(batch.num_rows, bool)))
+            yield batch.append_column(name, pa.array(hit[hosts.indices.to_numpy()] if len(hit) else np.zeros(batch.num_rows, bool)))
 
-    return rows.mapInArrow(mark, T.StructType([*rows.schema.fields, T.StructField("_listed", T.BooleanType())]))
+    return rows.mapInArrow(mark, T.StructType([*rows.schema.fields, T.StructField(name, T.BooleanType())]))

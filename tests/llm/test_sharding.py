@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import Counter
 
@@ -18,6 +19,34 @@ def corpus():
     return rows
 
 
+def number(*parts):
+    return int(hashlib.md5("|".join(parts).encode()).hexdigest()[:13], 16)
+
+
+def plain(rows, shards, seed=1):
+    """doc_id, size, checksum, source, shard and slot of each row by two plain sorts."""
+    known = [(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), s) for i, t, s in rows]
+    keyed = [(number(str(seed), "" if i is None else str(i), str(crc), str(size)), (i is not None, i or 0), crc, size, "-" if s is None else f"+{s}", (i, size, crc, s)) for i, size, crc, s in known]
+    counts, placed = Counter(k[4] for k in keyed), []
+    seen = Counter()
+    for h, i, crc, size, stratum, row in sorted(keyed, key=lambda k: (k[4], *k[:4])):
+        seen[stratum] += 1
+        fraction = (seen[stratum] - number(str(seed + 7), stratum) / 16.0**13) / counts[stratum]
+        placed.append((fraction, h, stratum, i, crc, size, row))
+    out, n = [], len(rows)
+    for at, (*_, row) in enumerate(sorted(placed, key=lambda p: p[:6])):
+        shard = at * shards // n
+        out.append((*row, shard, at - -(-shard * n // shards)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bucket_rows", [50_000, 40])
+def test_equals_two_plain_sorts(spark, bucket_rows):
+    rows = corpus() + [(None, f"text {k}", "hot") for k in range(200)] + [(7, f"text {k % 9}", None) for k in range(200)]
+    got = interleave(frame(spark, rows), shards=24, seed=1, bucket_rows=bucket_rows).collect()
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.source, r.shard, r.slot) for r in got), key=str) == plain(rows, 24)
+
+
 @pytest.mark.parametrize("bucket_rows", [50_000, 40])
 def test_law_and_mixture(spark, bucket_rows):
     rows = corpus()
