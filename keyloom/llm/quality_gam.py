@@ -8,7 +8,7 @@ for a row's bins, through the logistic function: a gather and an addition for ea
 
 Features come from whole texts, computed over arrays for many documents at once; they describe shape
 (lengths, character classes, repetition), never the label, language, source or id. The model is fitted on the
-driver from at most ``sample`` labelled rows, chosen by a hash of the id; a few numbers a row are
+driver from at most ``sample`` labelled rows, repeated ones once, chosen by a hash of id and features; a few numbers a row are
 collected, never text. Everything is deterministic.
 
 Defined results: a null or empty text has the features of no words and gets a score like any other; null labels are
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm._frames import durable, pieces
+from keyloom.llm._frames import drawn, durable, pieces
 from keyloom.llm._words import Words, grams
 
 FEATURES = (
@@ -224,9 +224,10 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 20_00
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).where(learn)
     x = durable(described(docs))
-    drawn = x.join(known, "doc_id").orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", "x").limit(sample).select("x", "y").toPandas()
-    values = np.stack(drawn["x"].to_list()) if len(drawn) else np.zeros((0, len(FEATURES)))
-    model = docs.sparkSession.sparkContext.broadcast(fit(values, drawn["y"].to_numpy(np.float64), **params))
+    labelled = x.join(known, "doc_id")
+    found = drawn(labelled, labelled.count(), sample, "doc_id", "x").select("x", "y").toPandas()
+    values = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(FEATURES)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(values, found["y"].to_numpy(np.float64), **params))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

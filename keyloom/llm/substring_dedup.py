@@ -1,8 +1,10 @@
 """Substring dedup: remove every word that lies in a window of words found anywhere else.
 
 Count-min prefilter over anchors. In each window of ``width`` words the ``gram``-word runs with the
-smallest hash are its anchors, so equal windows have equal anchors and a window can only repeat if
-its anchor does. Only anchors (about one word in thirteen) are counted.
+smallest hash are its anchors. An anchor is a function of the window's words alone, so equal windows have equal
+anchors, and the anchor of a window occurs at least as often as the window: the count of an anchor is an
+upper bound of the counts of its windows, as a count-min cell is of its keys, and no repeated window can be estimated
+unique. Only anchors (about one word in thirteen) are counted, so the sketch is a twelfth of one over windows.
 
 1. Each task adds its anchors to count-min sketches (``depth`` rows, 2**``cell_bits`` cells), held
    sparsely as (row, cell, count); the sketches merge by adding cells. A cell is an upper bound for each
@@ -11,6 +13,8 @@ its anchor does. Only anchors (about one word in thirteen) are counted.
 2. A second pass forms the 128-bit hashes of all windows whose anchor isn't settled, and groups them
    exactly. Again only the groups of one go back. Everything else that was a candidate repeats.
 
+Rows are told apart by 96 bits of hashes of id and text, so null and repeated ids spread over all tasks.
+
 Both counts are plain sums with map-side combining, so a passage in a third of all documents is one row
 for each task, and no join multiplies rows. Sketches are never collected; the width is free as cells are
 sparse. A document's lists are bounded by its own length.
@@ -30,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm._frames import doc_id_of, doc_key, pieces
+from keyloom.llm._frames import pieces
 from keyloom.llm._words import BASES, TOP, U64, Words, grams, mix, slide
 
 #: Odd multipliers, one for each row of the sketch.
@@ -103,7 +107,8 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def windows_removed(docs: DataFrame, width: int = 35, gram: int = 10, depth: int = 2, cell_bits: int = 40) -> DataFrame:
     """doc_id, n_words, n_removed, kept (binary: the words left, joined by one space)."""
-    source = docs.select(doc_key().alias("key"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    source = docs.select(F.xxhash64(doc_id, text).alias("key"), F.hash(doc_id, text).alias("tag"), text.alias("text"), doc_id.alias("doc_id"))
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
@@ -119,7 +124,7 @@ def windows_removed(docs: DataFrame, width: int = 35, gram: int = 10, depth: int
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch, texts in pieces(batches):
-            yield pa.RecordBatch.from_arrays([_column(batch, "key"), _column(batch, "tag"), pa.array([squeeze.compress(t) for t in texts], pa.binary())], ["key", "tag", "packed"])
+            yield pa.RecordBatch.from_arrays([*(_column(batch, c) for c in ("doc_id", "key", "tag")), pa.array([squeeze.compress(t) for t in texts], pa.binary())], ["doc_id", "key", "tag", "packed"])
 
     def lone(counted: DataFrame, name: str, *by: str) -> DataFrame:
         """Of groups of one: the document, and the list of its places."""
@@ -150,10 +155,9 @@ def windows_removed(docs: DataFrame, width: int = 35, gram: int = 10, depth: int
                 n.append(len(mine))
                 removed.append(int(mine.sum()))
                 kept.append(b" ".join(x for x, g in zip(w.of(d), mine.tolist(), strict=True) if not g) if removed[-1] else b" ".join(w.of(d)))
-            yield pa.RecordBatch.from_arrays([_column(batch, "key"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["key", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
     settled = lone(source.mapInArrow(sketch, "cell long, n long, key long, place long"), "settled", "cell")
-    packed = source.mapInArrow(pack, "key long, tag int, packed binary").join(settled, ["key", "tag"], "left")
+    packed = source.mapInArrow(pack, "doc_id long, key long, tag int, packed binary").join(settled, ["key", "tag"], "left")
     single = lone(packed.mapInArrow(group, "a long, b long, n long, key long, place long"), "single", "a", "b")
-    out = packed.join(single, ["key", "tag"], "left").mapInArrow(cut, "key long, n_words long, n_removed long, kept binary")
-    return out.select(doc_id_of(), "n_words", "n_removed", "kept")
+    return packed.join(single, ["key", "tag"], "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
