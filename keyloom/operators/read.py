@@ -84,13 +84,26 @@ def first(table: TableDef, found: DataFrame) -> DataFrame:
     return found.orderBy("_pos", *table.sort).limit(1).drop("_pos")
 
 
-def latest(rows: DataFrame, identity: list[str], order: list[Column]) -> DataFrame:
-    """Upsert by key: of each identity the first row in the given total order."""
-    rank = F.row_number().over(Window.partitionBy(*identity).orderBy(*order))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+def latest(rows: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
+    """Upsert by key: of each identity the row that is greatest in the given columns, the first of them counting most.
+
+    One aggregation with map-side combining, so a hot key is a row for each task.
+    """
+    best = F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_best")
+    return rows.groupBy(*identity).agg(best).select("_best.*")
 
 
 def skip(responses: DataFrame, n: int, order: str) -> DataFrame:
-    """All but the first n (none for n of 0 or less) in order, numbered from 1 in idx."""
-    numbered = responses.withColumn("idx", F.row_number().over(Window.orderBy(order)).cast("long"))
-    return numbered.where(F.col("idx") > max(0, n))
+    """All but the first n (none for n of 0 or less) in order, numbered from 1 in idx; order is of distinct values.
+
+    A row's number is the rows of the ranges before its own (a count for each range) and its place in its range.
+    """
+    ranges = max(1, min(64, int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    edges = responses.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else None
+    dealt = responses.withColumn("_range", sum((F.when(F.col(order) > F.lit(e), 1).otherwise(0) for e in sorted(set(edges or []))), F.lit(0)))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    firsts = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    numbered = dealt.withColumn("_place", place).join(F.broadcast(firsts), "_range").withColumn("idx", F.col("_before") + F.col("_place"))
+    return numbered.where(F.col("idx") > max(0, n)).select(*responses.columns, "idx")

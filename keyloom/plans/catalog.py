@@ -16,6 +16,7 @@ from keyloom.functions import filters
 from keyloom.operators import latency, read, replay
 from keyloom.operators.placement import Ring, balance
 from keyloom.plans.engine import Engine
+from keyloom.plans.table import Table
 from keyloom.schema import TableDef
 from keyloom.sources.tables import load, read_csv, scratch
 from keyloom.streaming import tail
@@ -134,19 +135,32 @@ def response_order_skip(spark, sf_dir):
            l_discount desc, l_tax desc, l_returnflag desc, l_linestatus desc) rn from lineitem) where rn = 1""")
 def upsert_lww(spark, sf_dir):
     order = "l_shipdate l_partkey l_suppkey l_extendedprice l_quantity l_discount l_tax l_returnflag l_linestatus".split()
-    return read.latest(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col(c).desc() for c in order])
+    return read.latest(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], order)
 
 
 @query("select * from customer where c_custkey not in (5,9,999999)")
 def delete_keys(spark, sf_dir):
-    return load(spark, sf_dir, "customer").where(~F.col("c_custkey").isin(5, 9, 999999))
+    """Deletes of keys, held or not, through the log of a compacted table."""
+    table = _loaded(spark, sf_dir, "customer", "c_custkey")
+    table.delete(spark.createDataFrame([(5,), (9,), (999999,)], "c_custkey long"))
+    return table.rows()
 
 
 @query("""select c_custkey, c_name, c_nationkey, case c_custkey when 5 then 1.5::double when 9 then 2.5::double
   else c_acctbal end c_acctbal, c_mktsegment from customer""")
 def update_set(spark, sf_dir):
-    balance_ = filters.set_by_key("c_custkey", {5: 1.5, 9: 2.5}, "c_acctbal")
-    return load(spark, sf_dir, "customer").withColumn("c_acctbal", balance_)
+    """Updates of a column by key through the log of a compacted table; that of a key that isn't there does nothing."""
+    table = _loaded(spark, sf_dir, "customer", "c_custkey")
+    table.update(spark.createDataFrame([(5, 1.5), (9, 2.5), (999999, 3.5)], "c_custkey long, c_acctbal double"))
+    return table.rows()
+
+
+@query("""select c_custkey, c_name, c_nationkey, case when c_custkey % 2 = 0 then c_acctbal / 2 else c_acctbal end c_acctbal, c_mktsegment from customer""")
+def update_by_expression(spark, sf_dir):
+    """New values computed from the rows as they are, written back as updates."""
+    table = _loaded(spark, sf_dir, "customer", "c_custkey")
+    table.update(table.rows().where("c_custkey % 2 = 0").select("c_custkey", (F.col("c_acctbal") / 2).alias("c_acctbal")))
+    return table.rows()
 
 
 # The change log
@@ -212,13 +226,6 @@ def touched_partitions(spark, sf_dir):
     return replay.touched_rows(table_def(rows, "customer", "c_custkey"), rows, keys)
 
 
-@query("""select archive, live_bytes, row_number() over (order by live_bytes, archive) rank from
-  (select event_id % 8 archive, sum(length(props))::bigint live_bytes from events group by 1)""")
-def archive_usage(spark, sf_dir):
-    live = load(spark, sf_dir, "events").groupBy((F.col("event_id") % 8).alias("archive")).agg(F.sum(F.length("props")).cast("long").alias("live_bytes"))
-    return live.withColumn("rank", F.row_number().over(Window.orderBy("live_bytes", "archive")).cast("long"))
-
-
 # Through the engine: log, acknowledgements, snapshots
 
 
@@ -226,6 +233,31 @@ def _engine(spark: SparkSession) -> Engine:
     return Engine(spark, scratch(spark))
 
 
+def _loaded(spark: SparkSession, sf_dir: str, name: str, *key: str, sort: tuple[str, ...] = (), engine: Engine | None = None) -> Table:
+    """A table of an engine of its own whose snapshot holds the rows of an input."""
+    rows = load(spark, sf_dir, name)
+    table = (engine or _engine(spark)).register(table_def(rows, name, *key, sort=sort))
+    table.insert(rows)
+    table.compact()
+    return table
+
+
+@query("""select version, live_buckets, all_buckets, row_number() over (order by live_buckets, version) rank
+  from (values (0::bigint, 14::bigint, 16::bigint), (1, 1, 1), (2, 1, 1)) v(version, live_buckets, all_buckets)""")
+def archive_usage(spark, sf_dir):
+    """Snapshot versions by how much of them is live, the emptiest first: two of sixteen buckets are written anew, one after the other."""
+    rows = load(spark, sf_dir, "orders")
+    table = _loaded(spark, sf_dir, "orders", "o_orderkey")
+    bucket = table.definition.bucket(table.manifest()["buckets"])
+    for b in (3, 7):
+        table.update(rows.where(bucket == b).select("o_orderkey", F.lit("X").alias("o_orderstatus")))
+        table.compact()
+    found = [(version, sum(1 for b in sizes if b[1]), len(sizes)) for version, sizes in table.buckets().items()]
+    emptiest = {version: k + 1 for k, (version, *_) in enumerate(table.usage())}
+    assert sorted(emptiest, key=emptiest.get)[-1] == 0  # by bytes as by buckets, the first version holds most
+    return spark.createDataFrame(found, "version long, live_buckets long, all_buckets long").withColumn("rank", F.row_number().over(Window.orderBy("live_buckets", "version")).cast("long"))
+
+
 @query("select * from orders")
 def insert_then_verify(spark, sf_dir):
     """Every row is inserted through the log, compacted, and read back by its key."""
@@ -278,6 +310,60 @@ def snapshot_point_read(spark, sf_dir):
     return table.get([5, 9, 12]).drop("_pos")
 
 
+@query("select conv_id, turn, case when turn = 1 then 'second' else role end as role, text from conversations where conv_id % 3 <> 0 or turn > 0")
+def sorted_compact(spark, sf_dir):
+    """A sorted table that is compacted, changed through its log and compacted again: the rows of the last snapshot."""
+    table = _loaded(spark, sf_dir, "conversations", "conv_id", sort=("turn",))
+    rows = load(spark, sf_dir, "conversations")
+    table.delete(rows.where("conv_id % 3 = 0 and turn <= 0").select("conv_id", "turn"))
+    table.update(rows.where("turn = 1").select("conv_id", "turn", F.lit("second").alias("role")))
+    table.compact()
+    return table.snapshot()
+
+
+@query("select conv_id, turn, case when conv_id % 2 = 0 then 'even' else role end as role, text from conversations where turn < 4")
+def sorted_update(spark, sf_dir):
+    """Updates and deletes of a persistent sorted table, read from snapshot and log together."""
+    table = _loaded(spark, sf_dir, "conversations", "conv_id", sort=("turn",))
+    rows = load(spark, sf_dir, "conversations")
+    table.update(rows.where("conv_id % 2 = 0").select("conv_id", "turn", F.lit("even").alias("role")))
+    table.delete(rows.where("turn >= 4").select("conv_id", "turn"))
+    return table.rows()
+
+
+@query("select conv_id, turn, role from conversations where conv_id in (3, 5) and role <> 'system' and turn <> 2")
+def ephemeral_get(spark, sf_dir):
+    """A get of a sorted table in memory, after a delete."""
+    rows = load(spark, sf_dir, "conversations")
+    definition = table_def(rows, "conversations", "conv_id", sort=("turn",))
+    table = _engine(spark).register(TableDef("conversations", definition.schema, definition.key, definition.sort, ephemeral=True))
+    table.insert(rows)
+    table.delete(rows.where("turn = 2").select("conv_id", "turn"))
+    return table.get([5, 3], where=F.col("role") != "system").select("conv_id", "turn", "role")
+
+
+@query("select * from customer where c_custkey in (2, 4, 6)")
+def cached_get(spark, sf_dir):
+    """A get that a resident table answers from memory."""
+    engine = _engine(spark)
+    table = _loaded(spark, sf_dir, "customer", "c_custkey", engine=engine)
+    engine.residency.load("customer")
+    found = table.get([2, 4, 6])
+    assert "InMemoryTableScan" in found._jdf.queryExecution().executedPlan().toString()
+    return found.drop("_pos")
+
+
+@query("select idx, ok from (values (2::bigint, false), (3, true)) r(idx, ok)")
+def batch_skip(spark, sf_dir):
+    """The responses of a batch after the first two."""
+    from keyloom.ops import Delete, Get
+
+    engine = _engine(spark)
+    _loaded(spark, sf_dir, "customer", "c_custkey", engine=engine)
+    batch = engine.batch().add(Get("customer", (1,))).add(Delete("customer", 1)).add(Get("customer", (1,))).add(Get("customer", (2,)))
+    return batch.execute().skip(2).select(F.col("index").alias("idx"), "ok")
+
+
 @query("select conv_id, turn, case when turn = 0 then 'first' else role end as role, text from conversations where role <> 'system' or turn = 0")
 def ephemeral_verbs(spark, sf_dir):
     """A sorted table in memory: insert, delete, update, get; nothing is written."""
@@ -335,6 +421,24 @@ def csv_scan(spark, sf_dir):
     return read_csv(spark, path, rows.schema, "fail")
 
 
+@query("select n_nationkey, n_name, n_regionkey from nation where n_nationkey < 7")
+def csv_until_bad_row(spark, sf_dir):
+    """A headered CSV file whose eighth row is bad, read up to it."""
+    rows, path = load(spark, sf_dir, "nation"), scratch(spark)
+    broken = rows.orderBy("n_nationkey").select(F.when(F.col("n_nationkey") == 7, "no number").otherwise(F.col("n_nationkey").cast("string")).alias("n_nationkey"), "n_name", "n_regionkey")
+    broken.coalesce(1).write.option("header", True).csv(path)
+    return read_csv(spark, path, rows.schema, "stop")
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation where n_nationkey <> 7")
+def csv_without_bad_rows(spark, sf_dir):
+    """The same file with bad rows skipped."""
+    rows, path = load(spark, sf_dir, "nation"), scratch(spark)
+    broken = rows.select(F.when(F.col("n_nationkey") == 7, "no number").otherwise(F.col("n_nationkey").cast("string")).alias("n_nationkey"), "n_name", "n_regionkey")
+    broken.write.option("header", True).csv(path)
+    return read_csv(spark, path, rows.schema, "skip")
+
+
 @query(PREFIX + " select k, seq, op, case when op = 'insert' then true else alive end ack from a")
 def stream_acks(spark, sf_dir):
     """The log as a stream, folded with state for each key: the batch's acknowledgements."""
@@ -358,14 +462,20 @@ def stream_ingest(spark, sf_dir):
 # Placement and latency
 
 
-@query("select count(*) keys from orders")
-def ring_total(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders")
-    shares = balance(orders, Ring([f"shard{i}" for i in range(8)]).column("o_orderkey"))
-    return shares.agg(F.sum("keys").alias("keys"))
+#: The ring's points and a key's hash are the first 16 hexadecimal digits of MD5s, compared as text; a key beyond the last point goes to the first.
+RING_SQL = """with points as (select md5(i::varchar || ':shard' || s) h, s::int shard from range(8) a(s), range(1000) b(i)),
+ hashed as (select o_orderkey, md5(o_orderkey::varchar) h from orders),
+ placed as (select o_orderkey, coalesce(p.shard, (select arg_min(shard, h) from points)) shard from hashed asof left join points p on hashed.h <= p.h)"""
+
+
+@query(RING_SQL + " select o_orderkey, shard from placed")
+def ring_find(spark, sf_dir):
+    """The shard of each key."""
+    ring = Ring([f"shard{i}" for i in range(8)])
+    return load(spark, sf_dir, "orders").select("o_orderkey", ring.column("o_orderkey").alias("shard"))
 
 
-@query()
+@query(RING_SQL + " select shard, count(*) keys, count(*) / (select count(*) from orders)::double share from placed group by shard")
 def ring_balance(spark, sf_dir):
     return balance(load(spark, sf_dir, "orders"), Ring([f"shard{i}" for i in range(8)]).column("o_orderkey"))
 
@@ -377,7 +487,7 @@ def bench_percentiles(spark, sf_dir):
     return latency.percentile(load(spark, sf_dir, "events"), ["event_type"], "value", 0.99).withColumnRenamed("value", "p99")
 
 
-@query("""select event_type, count(*) n, min(value) "min", max(value) "max",
+@query("""select event_type, count(*) n, min(value) "min", max(value) "max", round(avg(value), 6) average, round(sum(value), 4) total,
   max(case when i = least(cast(ceil(n * 0.99::double) as bigint), n - 1) then value end) p99,
   max(case when i = least(cast(ceil(n * 0.95::double) as bigint), n - 1) then value end) p95,
   max(case when i = least(cast(ceil(n * 0.9::double) as bigint), n - 1) then value end) p90,
@@ -387,4 +497,4 @@ def bench_report(spark, sf_dir):
     """All percentiles of samples that two workers took."""
     events = load(spark, sf_dir, "events")
     both = latency.merge([events.where("event_id % 2 = 0"), events.where("event_id % 2 <> 0")])
-    return latency.report(both, ["event_type"], "value").drop("average", "total")
+    return latency.report(both, ["event_type"], "value").withColumns({"average": F.round("average", 6), "total": F.round("total", 4)})

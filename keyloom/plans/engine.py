@@ -131,6 +131,10 @@ class Result:
             raise WrongType(f"response {index} is of {VERBS[type(op)]} on {op.table}")
         return read.order_of(self.batch.engine.database[op.table], self._frames[index])
 
+    def skip(self, n: int) -> DataFrame:
+        """The responses after the first n of them (all for n of 0 or less)."""
+        return self.responses().where(F.col("index") >= max(0, n))
+
     def first(self, index: int, table: str | None = None):
         return self.rows(index, table).limit(1).first()
 
@@ -149,20 +153,32 @@ class Residency:
         if name in self.held:
             self.held.move_to_end(name)
             return self.held[name]
-        frame = self.engine.table(name).rows().cache()
+        frame = self.engine.table(name).stored().cache()
         frame.count()
         self.held[name] = frame
         self.evict()
         return frame
 
+    def held_rows(self, name: str) -> DataFrame | None:
+        """What is held of a table, which counts as a use of it; None if it isn't."""
+        if name in self.held:
+            self.held.move_to_end(name)
+        return self.held.get(name)
+
     def written(self, name: str) -> None:
         """A write makes what is held stale."""
         if name in self.held:
             self.held.pop(name).unpersist()
 
     def size(self) -> int:
-        infos = self.engine.spark.sparkContext._jsc.sc().getRDDStorageInfo()
-        return sum(i.memSize() + i.diskSize() for i in infos)
+        """Bytes that the tables held here take; what else the session has cached isn't counted."""
+        manager = self.engine.spark._jsparkSession.sharedState().cacheManager()
+        sizes = 0
+        for frame in self.held.values():
+            found = manager.lookupCachedData(frame._jdf)
+            if found.isDefined():
+                sizes += int(str(found.get().cachedRepresentation().cacheBuilder().sizeInBytesStats().value()))
+        return sizes
 
     def evict(self) -> list[str]:
         """If over the limit, free the configured share of what is in use."""

@@ -24,7 +24,7 @@ from keyloom.operators import read, replay
 from keyloom.schema import TableDef
 from keyloom.sources.store import Store
 
-CURRENT, LOCK = "CURRENT", "LOCK"
+CURRENT, LOCK, LAST = "CURRENT", "LOCK", "_last-"
 
 
 class Table:
@@ -33,7 +33,8 @@ class Table:
         self.options = engine.options.of(definition.name)
         self.store = None if definition.ephemeral else Store(engine.spark, f"{engine.root}/{definition.name}")
         self._memory: list[DataFrame] = []
-        self._seq: int | None = None
+        #: The greatest sequence of each batch that this writer knows.
+        self._last: dict[str, int] = {}
 
     # Files
 
@@ -59,7 +60,7 @@ class Table:
         """
         if self.store is not None:
             self.store.unlock(LOCK)
-            self._seq = None
+            self._last.clear()
 
     def generations(self) -> list[int]:
         """Uncompacted generations of the log, whichever of them were closed."""
@@ -93,10 +94,22 @@ class Table:
         return self.spark.read.schema(self.definition.schema).parquet(*paths) if paths else None
 
     def next_seq(self) -> int:
-        if self._seq is None:
-            last = self.intents().agg(F.max("_seq")).first()[0]
-            self._seq = max(self.manifest()["next_seq"], -1 if last is None else last) + 1
-        return self._seq
+        """One more than the greatest sequence so far: each batch has its own in the name of a file, so the log isn't read."""
+        names = map(str, range(len(self._memory))) if self.store is None else self._batches()
+        known = [self._last_of(name) for name in names]
+        return max([self.manifest()["next_seq"], *known]) + 1
+
+    def _last_of(self, batch: str) -> int:
+        if batch not in self._last:
+            noted = [n for n in self.store.names(batch) if n.startswith(LAST)] if self.store is not None else []
+            self._last[batch] = int(noted[-1].removeprefix(LAST)) if noted else self._counted(batch)
+        return self._last[batch]
+
+    def _counted(self, batch: str) -> int:
+        """Of a batch whose writer died before it left a note, or that is held in memory."""
+        rows = self._memory[int(batch)] if self.store is None else self.spark.read.schema(self.definition.intents).parquet(self.store.url(batch))
+        last = rows.agg(F.max("_seq")).first()[0]
+        return -1 if last is None else last
 
     # Writes
 
@@ -105,16 +118,16 @@ class Table:
         self.engine.residency.written(self.definition.name)
         if self.store is None:
             self._memory.append(intents.cache())
-            self._seq = None
             return
         self.rotate_if_full()
         folder = f"log/gen={self.generation()}"
         if batch is not None:
             again = [b for b in self._all_batches() if b.endswith(f"/batch={batch}")]
             folder = again[0].rpartition("/")[0] if again else folder
-        name = batch or f"{self.next_seq():020d}"
-        intents.select(*self.definition.intents.names).write.mode("overwrite").parquet(self.store.url(f"{folder}/batch={name}"))
-        self._seq = None
+        path = f"{folder}/batch={batch or f'{self.next_seq():020d}'}"
+        self._last.pop(path, None)
+        intents.select(*self.definition.intents.names).write.mode("overwrite").parquet(self.store.url(path))
+        self.store.write(f"{path}/{LAST}{self._counted(path)}", "")
 
     def _all_batches(self) -> list[str]:
         return [f"log/gen={g}/{n}" for g in self.generations() for n in self.store.names(f"log/gen={g}")]
@@ -160,17 +173,29 @@ class Table:
         return self.acks(first)
 
     def acks(self, first: int) -> DataFrame:
-        found = replay.acks(self.definition, self.intents(), self.snapshot()).where(F.col("_seq") >= first)
+        """Acknowledgements from sequence first on; only the history of the keys that they are about is read back."""
+        log = self.intents()
+        keys = log.where(F.col("_seq") >= first).select(*self.definition.identity).distinct()
+        mine = log.join(keys, list(self.definition.identity), "left_semi").select(*log.columns)
+        found = replay.acks(self.definition, mine, self.snapshot()).where(F.col("_seq") >= first)
         return found.select(*self.definition.identity, "ack")
 
     # Reads
 
     def rows(self) -> DataFrame:
+        """All rows: those held in memory, if the engine holds the table, else from log and snapshot."""
+        held = self.engine.residency.held_rows(self.definition.name)
+        return self.stored() if held is None else held
+
+    def stored(self) -> DataFrame:
         return replay.state(self.definition, self.intents(), self.snapshot())
 
     def get(self, keys, where: Column | None = None, limit: int | None = None, sort_keys=None, compat_limit: bool = False) -> DataFrame:
-        """_pos and rows, as read.get. Only the buckets and row groups of these keys are read."""
+        """_pos and rows, as read.get. A resident table answers from memory; else only the buckets and row groups of these keys are read."""
         keys = list(keys)
+        held = self.engine.residency.held_rows(self.definition.name)
+        if held is not None:
+            return read.get(self.definition, held, keys, where, limit, sort_keys, compat_limit)
         wanted = read.requested(self.definition, keys, self.spark)
         few = len(keys) <= read.PUSHED_KEYS
         pushed = read.key_filter(self.definition, keys)
@@ -234,14 +259,19 @@ class Table:
         dealt.write.mode("overwrite").partitionBy("b").parquet(self.store.url(folder))
         return [int(x.removeprefix("b=")) for x in self.store.names(folder) if x.startswith("b=")]
 
-    def usage(self) -> list[tuple[int, int, int]]:
-        """version, live bytes, all bytes; the emptiest first."""
+    def buckets(self) -> dict[int, list[tuple[int, bool, int]]]:
+        """Of each version, its buckets: number, whether it is live, bytes."""
         live = {(v, int(b)) for b, v in self.manifest()["versions"].items()}
-        out = []
+        out = {}
         for name in self.store.names("snapshots"):
             v = int(name.removeprefix("v="))
-            sizes = {int(b.removeprefix("b=")): self.store.size(f"snapshots/{name}/{b}") for b in self.store.names(f"snapshots/{name}") if b.startswith("b=")}
-            out.append((v, sum(s for b, s in sizes.items() if (v, b) in live), sum(sizes.values())))
+            own = [(int(b.removeprefix("b=")), b) for b in self.store.names(f"snapshots/{name}") if b.startswith("b=")]
+            out[v] = [(k, (v, k) in live, self.store.size(f"snapshots/{name}/{b}")) for k, b in sorted(own)]
+        return out
+
+    def usage(self) -> list[tuple[int, int, int]]:
+        """version, live bytes, all bytes; the emptiest first."""
+        out = [(v, sum(size for _, alive, size in own if alive), sum(size for *_, size in own)) for v, own in self.buckets().items()]
         return sorted(out, key=lambda x: (x[1], x[0]))
 
     def collect(self) -> None:

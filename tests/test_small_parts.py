@@ -78,7 +78,7 @@ def test_options(tmp_path):
 def test_skip_and_latest(spark):
     frame = spark.createDataFrame([(1, 5), (2, 7), (2, 6)], "k int, v int")
     assert [r.idx for r in read.skip(frame, 0, "v").collect()] == [1, 2, 3] and read.skip(frame, 9, "v").count() == 0
-    assert sorted((r.k, r.v) for r in read.latest(frame, ["k"], [F.col("v").desc()]).collect()) == [(1, 5), (2, 7)]
+    assert sorted((r.k, r.v) for r in read.latest(frame, ["k"], ["v"]).collect()) == [(1, 5), (2, 7)]
 
 
 def test_entry(spark):
@@ -86,3 +86,31 @@ def test_entry(spark):
     assert out.columns == ["k", "v", "inserted_at", "last_seq"] and out.count() > 0
     names, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(names)
+
+
+def test_skip_in_many_ranges(spark):
+    rows = [((k * 37) % 500, k) for k in range(500)]
+    frame = spark.createDataFrame(rows, "v long, w int").repartition(7)
+    assert sorted((r.v, r.idx) for r in read.skip(frame, 123, "v").collect()) == [(v, v + 1) for v in range(123, 500)]
+    assert read.skip(frame.limit(0), 3, "v").collect() == []
+
+
+def test_csv_up_to_the_first_bad_row(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType())])
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "a.csv").write_text('id,title\n1,"a ""b"""\n\n2,c\nx,bad\n3,d\n4\n')
+    (folder / "b.csv").write_text("id,title\n5,e\n6,f\n")
+    assert sorted((r.id, r.title) for r in read_csv(spark, str(folder), schema, "stop").collect()) == [(1, 'a "b"'), (2, "c"), (5, "e"), (6, "f")]
+    (tmp_path / "empty.csv").write_text("")
+    assert read_csv(spark, str(tmp_path / "empty.csv"), schema, "stop").collect() == []
+
+
+def test_queries_of_tables_work_without_the_other_part(tmp_path):
+    """Whether its folder, or a library that only it uses, is missing."""
+    import subprocess
+    import sys
+
+    for missing in ("keyloom.llm", "xxhash"):
+        code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; assert 'get_point' in e.queries() and 'get_point' in e.oracle_sql(); assert not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=__spark_entry__.__file__.rpartition("/")[0], timeout=60)
