@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -32,14 +33,15 @@ def fold(stream: DataFrame, definition: TableDef, mutate: Callable[[dict, dict],
     """identity, _seq, _op, ack, alive, row (JSON): the answer to each intent, with state kept for each key.
 
     Within a micro-batch intents are taken in order of _seq; one that isn't later than the last applied of its
-    key is refused (ack false, state unchanged). mutate(row, set): a user's update in place of set-style columns.
+    key is refused (ack false, state unchanged). mutate(row, set): a user's update in place of set-style columns, which
+    sees values of the same types in every micro-batch (the state keeps the row pickled; only the answer is JSON).
     """
     names, identity = definition.schema.names, definition.identity
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in definition.fields(identity))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, alive, row = state.get if state.exists else (-1, False, "{}")
-        kept, out = json.loads(row), []
+        last, alive, row = state.get if state.exists else (-1, False, pickle.dumps({}))
+        kept, out = pickle.loads(bytes(row)), []
         todo = pd.concat(list(frames)).sort_values("_seq")
         for one in todo.to_dict("records"):
             seq, op = int(one["_seq"]), one["_op"]
@@ -56,8 +58,8 @@ def fold(stream: DataFrame, definition: TableDef, mutate: Callable[[dict, dict],
                     changed = mutate(dict(kept), given) if mutate else kept | given
                     kept = changed | {c: kept[c] for c in identity}
             out.append((*key, seq, op, ack, alive, json.dumps(kept, default=str, sort_keys=True)))
-        state.update((last, alive, json.dumps(kept, default=str)))
+        state.update((last, alive, pickle.dumps(kept)))
         yield pd.DataFrame(out, columns=[*identity, "_seq", "_op", "ack", "alive", "row"])
 
     schema = f"{keys}, _seq long, _op string, ack boolean, alive boolean, row string"
-    return stream.groupBy(*identity).applyInPandasWithState(step, schema, "last long, alive boolean, row string", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(*identity).applyInPandasWithState(step, schema, "last long, alive boolean, row binary", "append", GroupStateTimeout.NoTimeout)
