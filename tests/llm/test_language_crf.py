@@ -77,6 +77,28 @@ def test_a_long_document_is_one_chain(monkeypatch):
         assert (known[:, 0] <= known[:, 1]).all() and known[3, 0] > 0
 
 
+def plain_features(word):
+    """Feature numbers of a word: trigrams with its ends, first bytes, last bytes, the word."""
+    hashed = lambda code, k: ((code + k) * 0x9E3779B97F4A7C15 % 2**64 >> 64 - crf.TABLES[k]) + int(crf.OFFSETS[k])
+    joined = b" " + word + b" "
+    out = [hashed(joined[i] << 16 | joined[i + 1] << 8 | joined[i + 2], 0) for i in range(len(word))]
+    head, tail = word[:3].ljust(3), word[::-1][:3].ljust(3)
+    return out + [hashed(h[0] << 16 | h[1] << 8 | h[2], k) for k, h in ((1, head), (2, tail))]
+
+
+def test_word_features_equal_plain_code():
+    text = "The a of Straße 12 x-y été 日本語 zzzzzzzzzz".encode()
+    w = crf.Words([text, b"", text[:7]], crf.FOLD)
+    words = w.buffer.split()
+    code, word = crf.trigrams(w, 0, len(w.bytes) - 1)
+    own = crf._hashed(code, 0)
+    more = crf.word_features(w)
+    for k, x in enumerate(words):
+        assert own[word == k].tolist() + more[k, :2].tolist() == plain_features(x)
+    same = [[j for j, y in enumerate(words) if y == x] for x in words]
+    assert [np.flatnonzero(more[:, 2] == h).tolist() for h in more[:, 2]] == same
+
+
 def test_a_change_far_away_reaches_over_blocks():
     # only the transitions join the words: the last word's evidence must reach the first
     emission = np.zeros((300, 2))

@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.01"
 
 
 def plain(text):
-    """Some of the features, by hand."""
+    """All features, by hand."""
     raw = (text or "").encode()
     w = raw.split()
     n, size = max(1, len(w)), max(1, len(raw))
@@ -29,6 +29,14 @@ def plain(text):
         "stutter": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
         "repeated_lines": 1 - max(1, len(set(lines))) / max(1, len(lines)),
         "repeated_grams": 1 - len(set(grams)) / len(grams) if grams else 0.0,
+        "letters": (letters := sum(chr(c).isalpha() and c < 128 or c >= 128 for c in raw)) / size,
+        "upper": sum(65 <= c <= 90 for c in raw) / max(1, letters),
+        "symbols": sum(c in b"#$%&*+<=>@[]^_`{}~\\/" for c in raw) / size,
+        "stops": sum(c in b".,;:?" for c in raw) / size,
+        "shouts": raw.count(b"!") / size,
+        "bars": raw.count(b"|") / size,
+        "line_length": np.log1p(len(raw) / max(1, len(lines))),
+        "symbol_ends": sum(x[-1] in b"!#$%&*+<=>@[]^_`{}~\\/" for x in w) / n,
     }
 
 
@@ -40,6 +48,53 @@ def test_features_match_plain_code():
     for row, text in zip(got, texts, strict=True):
         for name, value in plain(text).items():
             assert row[gam.FEATURES.index(name)] == pytest.approx(value), (name, text)
+    assert set(plain("")) == set(gam.FEATURES)
+
+
+def plain_score(model, row):
+    z = model.intercept
+    for cuts, table, v in zip(model.cuts, model.tables, row, strict=True):
+        z += table[sum(v >= c for c in cuts)]
+    for i, j, a, b, grid in model.pairs:
+        z += grid[sum(row[i] >= c for c in a)][sum(row[j] >= c for c in b)]
+    return 1 / (1 + np.exp(-min(max(z, -30), 30)))
+
+
+def test_scores_are_sums_of_looked_up_values():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, (800, len(gam.FEATURES))) / 7
+    y = (x[:, 1] + x[:, 4] * x[:, 5] + rng.normal(size=800) > 4).astype(float)
+    model = gam.fit(x, y, rounds=12, pair_rounds=6)
+    assert any(len(t) > 1 for t in model.tables) and model.pairs
+    other = np.concatenate([x[:100], rng.normal(size=(50, len(gam.FEATURES))) * 9])
+    assert np.allclose(model.score(other), [plain_score(model, row) for row in other])
+
+
+def plain_leaf_values(g, h, leaves, ridge):
+    """The best tree over ordered bins by trying every cut, one at a time."""
+    parts = [list(range(len(g)))]
+    value = lambda p: sum(g[i] for i in p) ** 2 / (sum(h[i] for i in p) + ridge)
+    while len(parts) < leaves:
+        cuts = [(value(p[:k]) + value(p[k:]) - value(p), n, k) for n, p in enumerate(parts) for k in range(1, len(p))]
+        if not cuts or max(cuts)[0] <= 1e-9:
+            break
+        _, n, k = max(cuts, key=lambda c: (c[0], parts[c[1]][c[2]]))
+        parts[n : n + 1] = [parts[n][:k], parts[n][k:]]
+    return [sum(g[i] for i in p) / (sum(h[i] for i in p) + ridge) for p in parts for _ in p]
+
+
+def test_trees_equal_plain_search():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 9, 20):
+        g, h = rng.normal(size=n), rng.random(n) + 0.1
+        assert np.allclose(gam._tree(g, h, 4, 2.0), plain_leaf_values(g, h, 4, 2.0))
+
+
+def test_a_hot_labelled_row_is_drawn_once(spark):
+    docs = spark.createDataFrame([(1, "hot text " * 3)] * 300 + [(k, f"text {k} " * (k % 7 + 1)) for k in range(2, 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 200)], "doc_id long, quality int")
+    got = gam.score(docs, labels, F.lit(True), sample=50).collect()
+    assert len(got) == 498 and len({r.score for r in got if r.doc_id == 1}) == 1
 
 
 def test_learns_an_interaction():
