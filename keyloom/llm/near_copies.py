@@ -1,4 +1,4 @@
-"""Pairs of texts whose five-word shingles agree: an exact join on Jaccard similarity.
+"""Classes of texts whose five-word shingles agree: an exact join on Jaccard similarity, closed over chains.
 
 A text is its set of shingles, the runs of ``SHINGLE`` words (a shorter text is one whole shingle); words are cut at
 white space and A to Z are lower-cased. Two sets of at least ``least`` in common hold a shingle in common among the
@@ -6,14 +6,24 @@ first ``n - ceil(least * n) + 1`` of each (prefix filtering), in any order that
 behind them those that are frequent in one text of ``SAMPLE``, the most frequent last. The sample steers only how many
 candidates there are; no pair depends on it.
 
-Candidates come twice, and each is verified on whole sets. First each text with the next one of every prefix shingle,
-by size: a group of k copies costs k pairs. Then, of texts that the links so far leave in different components, all
-that share a prefix shingle and are of like size.
+So texts are grouped by the shingles of their prefixes, and only groups that span several classes matter. In each, every
+text is compared with one, the group's hub: the text that shares most with the others, an original among its copies.
+What is then left apart is settled
 
-Before texts are moved, candidates go through a sieve that loses no pair: a text's bitmap has the parity of its
-shingles by their last bits, so that two bitmaps differ in at most as many bits as the sets have shingles apart.
+* in groups of up to ``DENSE`` texts by comparing those of different classes;
+* in larger groups by differences from the hub. Let X be the set of shingles that only one of x and the hub has. Two
+  texts of different classes have |X| + |Y| - 2 |X and Y| shingles that only one of them has; similar ones have at most
+  c (n + m), c = (1 - least) / (1 + least), and the one that isn't like the hub has more than that from the hub. So
+  |X and Y| has a least value, and X and Y meet in their prefixes (what few texts differ in first). Texts with a hub and
+  an element of that prefix in common are the groups of the next round. As an edit leaves shingles that no other copy
+  has, a group of k copies of one original costs k comparisons and a few rows a text, not k squared.
 
-Defined results: equal texts are one unit and make no pair; null and empty texts have no shingles and no pairs.
+Each round takes the hub out of its groups, so rounds end. Before texts are moved, candidates go through a sieve that
+loses no pair: a text's bitmap has the parity of its shingles by their last bits, so that two bitmaps differ in at most
+as many bits as the sets have shingles apart.
+
+Defined results: equal texts are one unit; null and empty texts have no shingles and are like nothing else here.
+A text is held whole, with some twenty times its size of arrays beside it.
 """
 
 from __future__ import annotations
@@ -24,7 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm._components import components
@@ -35,11 +45,13 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SHINGLE = 5
 #: One text in so many is counted for the order; so many frequent shingles are known.
 SAMPLE, FREQUENT = 32, 1 << 17
+#: Texts of a group that are compared with each other rather than by their differences from the hub.
+DENSE = 256
 
 
-def unit() -> Column:
-    """Names a text."""
-    return F.xxhash64("text")
+def unit(text: Column | str = "text") -> Column:
+    """Names a text (null: as hashed from nothing)."""
+    return F.xxhash64(text)
 
 
 def shingles(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -70,25 +82,23 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return common > 0 and common >= least * (len(a) + len(b) - common) - 1e-9
 
 
-def _emit(sent, least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """unit, n, s: of each text its size and prefix; without an order every shingle."""
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """unit, s: every shingle of each text."""
     for batch, texts in pieces(batches):
         sets = list(shingles(texts))
-        n = np.array([len(x) for x in sets], np.int32)
-        if sent is not None:
-            sets = [ordered(x, sent.value)[: prefix(len(x), least)] if len(x) else x for x in sets]
-        times = [len(x) for x in sets]
-        unit = np.repeat(batch.column(0).to_numpy(), times)
-        yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(np.repeat(n, times)), pa.array(np.concatenate(sets))], ["unit", "n", "s"])
+        unit = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(np.concatenate(sets))], ["unit", "s"])
 
 
-def _maps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """unit, n, bits: at least one bit a shingle, a power of two of them."""
+def _prints(sent, least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """unit, n, bits, prefix: of each text its size, its bitmap (at least one bit a shingle, a power of two of them) and its prefix."""
     for batch, texts in pieces(batches):
         sets = list(shingles(texts))
         sizes = [max(64, 1 << len(x).bit_length()) for x in sets]
         bits = [np.packbits(np.bincount(x & (k - 1), minlength=k) & 1).tobytes() for x, k in zip(sets, sizes, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(bits, pa.binary())], ["unit", "n", "bits"])
+        first = [ordered(x, sent.value)[: prefix(len(x), least)] if len(x) else x for x in sets]
+        columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["unit", "n", "bits", "prefix"])
 
 
 def apart(x: bytes, y: bytes) -> int:
@@ -101,62 +111,117 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def ratio(least: float) -> float:
+    """Of the summed sizes of two sets, the share that only one of them may have."""
+    return (1 - least) / (1 + least)
+
+
 def _sieve(least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = (batch.column(k).to_pylist() for k in range(2, 6))
-        keep = [apart(x, y) <= (n + m) * (1 - least) / (1 + least) + 1e-6 for n, x, m, y in zip(*columns, strict=True)]
+        keep = [apart(x, y) <= (n + m) * ratio(least) + 1e-6 for n, x, m, y in zip(*columns, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def sifted(maps: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+def sifted(prints: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """a, b: the pairs of units that can be alike."""
-    both = pairs.join(maps.select(F.col("unit").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
-    both = both.join(maps.select(F.col("unit").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b").select("a", "b", "na", "x", "nb", "y")
+    both = pairs.join(prints.select(F.col("unit").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
+    both = both.join(prints.select(F.col("unit").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b").select("a", "b", "na", "x", "nb", "y")
     return both.mapInArrow(functools.partial(_sieve, least), "a long, b long")
 
 
+def difference(own: np.ndarray, hub: np.ndarray, linked: bool, least: float) -> tuple[np.ndarray, int]:
+    """What only one of the two sets has, and how much of it, in an order that is one for all of this hub, is a prefix."""
+    only = np.setxor1d(own, hub, assume_unique=True)
+    size, c = len(only), ratio(least)
+    need = (size + c * (len(hub) - len(own))) / 2
+    if not linked:  # the other text may be like the hub
+        need = min(need, size - c * len(own) * (1 + 1 / least))
+    return only, max(0, size - max(1, math.ceil(need - 1e-6)) + 1)
+
+
 def _verify(least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, linked, and where differs is set: n (of b), b's difference from a and the size of its prefix."""
     for batch in batches:
-        a, b = ([t or b"" for t in batch.column(k).cast(pa.binary()).to_pylist()] for k in (2, 3))
-        keep = []
-        for low in range(0, len(a), 64):
-            keep += [alike(x, y, least) for x, y in zip(shingles(a[low : low + 64]), shingles(b[low : low + 64]), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        texts, differs = batch.select(["x", "y"]), batch.column(2).to_pylist()
+        for low in range(0, batch.num_rows, 64):
+            a, b = ([t or b"" for t in texts.column(k).slice(low, 64).cast(pa.binary()).to_pylist()] for k in (0, 1))
+            linked, n, rest, first = [], [], [], []
+            for x, y, wanted in zip(shingles(a), shingles(b), differs[low : low + 64], strict=True):
+                linked.append(alike(x, y, least))
+                n.append(len(y))
+                only, size = difference(y, x, linked[-1], least) if wanted else (None, None)
+                rest.append(only)
+                first.append(size)
+            columns = [*batch.select(["a", "b"]).slice(low, 64).columns, pa.array(linked, pa.bool_()), pa.array(n, pa.int32()), pa.array(rest, pa.list_(pa.int64())), pa.array(first, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "n", "rest", "first"])
 
 
 def verified(units: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """a, b: the pairs of units that are alike."""
+    """a, b, linked, n, rest, first: pairs has a, b and differs (whether rest is wanted)."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
     texts = units.join(needed, "unit", "left_semi").groupBy("unit").agg(F.min("text").alias("text"))
     both = pairs.join(texts.select(F.col("unit").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("unit").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(functools.partial(_verify, least), "a long, b long")
+    both = both.join(texts.select(F.col("unit").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "differs", "x", "y")
+    return both.mapInArrow(functools.partial(_verify, least), "a long, b long, linked boolean, n int, rest array<long>, first int")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (unit, root) after the classes that links (a, b) join have become one."""
+    ends = roots.select(F.col("unit").alias("a"), F.col("root").alias("ra")), roots.select(F.col("unit").alias("b"), F.col("root").alias("rb"))
+    edges = links.select("a", "b").join(ends[0], "a").join(ends[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    over = components(edges).select("node", F.col("root").alias("top"))
+    return durable(roots.join(over, F.col("root") == F.col("node"), "left").select("unit", F.coalesce("top", "root").alias("root")))
 
 
-def links(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """a, b: links between units (xxhash64 of the text) that with those known (a, b) join all units alike in a chain."""
+def _mixed(groups: DataFrame) -> DataFrame:
+    """s, unit, n, root, k (texts of the group), hub, hub_n, hub_root: the rows of groups (s, unit, n, root) that span several classes."""
+    wide = groups.groupBy("s").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rows = durable(groups.join(wide.select("s", "k"), "s"))
+    rows = rows.join(rows.groupBy("unit").agg(F.sum("k").alias("w")), "unit")
+    hub = rows.groupBy("s").agg(F.max(F.struct("w", "n", "unit", "root")).alias("hub"))
+    return durable(rows.join(hub, "s").select("s", "unit", "n", "root", "k", F.col("hub.unit").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.root").alias("hub_root")))
+
+
+def _differing(checked: DataFrame) -> DataFrame:
+    """s, unit, n: the groups of texts with a hub (a) and an element of their differences' prefixes in common, what few differ in first."""
+    every = checked.select("a", "b", "n", "first", F.explode("rest").alias("e"))
+    many = every.groupBy("a", "e").agg(F.count("*").alias("many")).where("many > 1")  # what one differs in makes no group, but fills its prefix
+    shared = every.join(many, ["a", "e"]).groupBy("a", "b", "n", "first").agg(F.array_sort(F.collect_list(F.struct("many", "e"))).alias("rest"), F.count("*").alias("size"))
+    alone = checked.select("a", "b", F.size("rest").alias("whole"))
+    left = shared.join(alone, ["a", "b"]).withColumn("first", F.greatest(F.lit(0), F.col("first") - (F.col("whole") - F.col("size"))).cast("int"))
+    chosen = left.select("a", "b", "n", F.explode(F.slice("rest", F.lit(1), F.col("first"))).alias("e"))
+    return chosen.select(F.xxhash64("a", "e.e").alias("s"), F.col("b").alias("unit"), "n")
+
+
+def _like(n: str, m: str, least: float) -> Column:
+    return (F.col(n) >= F.lit(least) * F.col(m) - 1e-9) & (F.col(m) >= F.lit(least) * F.col(n) - 1e-9)
+
+
+def classes(docs: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """unit, root: the classes given (of every unit: xxhash64 of the text) after all that are alike in a chain have become one."""
     units = docs.select(unit().alias("unit"), F.col("text").cast("string").alias("text")).where("text is not null")
-    some = units.where(F.pmod("unit", F.lit(SAMPLE)) == 0).mapInArrow(functools.partial(_emit, None, least), "unit long, n int, s long")
+    some = units.where(F.pmod("unit", F.lit(SAMPLE)) == 0).mapInArrow(_counted, "unit long, s long")
     top = some.distinct().groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(FREQUENT).toPandas()["s"].to_numpy(np.int64)
     order = np.argsort(top)
     sent = docs.sparkSession.sparkContext.broadcast((top[order], len(top) - 1 - order))
-
-    rows = units.mapInArrow(functools.partial(_emit, sent, least), "unit long, n int, s long").repartition("s").dropDuplicates(["s", "unit"])
-    beside = Window.partitionBy("s").orderBy("n", "unit")
-    near = rows.withColumn("next", F.lead("unit").over(beside)).withColumn("many", F.lead("n").over(beside)).withColumn("past", F.lag("unit").over(beside))
-    shared = durable(near.where("next is not null or past is not null"))
-    like = F.col("n") >= F.lit(least) * F.col("many") - 1e-9
-    tried = shared.where(F.col("next").isNotNull() & like).select(F.least("unit", "next").alias("a"), F.greatest("unit", "next").alias("b")).distinct()
-    tried = durable(tried)
-    maps = durable(units.mapInArrow(_maps, "unit long, n int, bits binary").dropDuplicates(["unit"]))
-    first = durable(verified(units, durable(sifted(maps, tried, least)), least))
-
-    roots = durable(components(known.select("a", "b").union(first)))
-    named = shared.select("unit", "n", "s").join(roots, shared["unit"] == roots["node"], "left").select("unit", "n", "s", F.coalesce("root", "unit").alias("root"))
-    mixed = named.groupBy("s").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("s")
-    left = durable(named.join(mixed, "s", "left_semi"))
-    other = left.select(F.col("unit").alias("unit2"), F.col("n").alias("n2"), "s", F.col("root").alias("root2"))
-    size = (F.col("n") >= F.lit(least) * F.col("n2") - 1e-9) & (F.col("n2") >= F.lit(least) * F.col("n") - 1e-9)
-    rest = left.join(other, "s").where((F.col("unit") < F.col("unit2")) & (F.col("root") != F.col("root2")) & size)
-    rest = rest.select(F.col("unit").alias("a"), F.col("unit2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return first.union(durable(verified(units, durable(sifted(maps, rest, least)), least)))
+    prints = durable(units.mapInArrow(functools.partial(_prints, sent, least), "unit long, n int, bits binary, prefix array<long>").dropDuplicates(["unit"]))
+
+    groups = prints.join(roots, "unit").select(F.explode("prefix").alias("s"), "unit", "n", "root")
+    while not (mixed := _mixed(groups)).isEmpty():
+        stars = mixed.where("unit <> hub").groupBy(F.col("hub").alias("a"), F.col("unit").alias("b"), F.col("hub_n").alias("m"), "n", F.expr("root <> hub_root").alias("cross"))
+        stars = durable(stars.agg((F.max("k") > DENSE).alias("differs")).where(F.col("differs") | (F.col("cross") & _like("n", "m", least))).select("a", "b", "differs"))
+        near = sifted(prints, stars.where("not differs").select("a", "b"), least).withColumn("differs", F.lit(False))
+        checked = durable(verified(units, durable(near.union(stars.where("differs"))), least))
+        roots = _merged(roots, checked.where("linked"))
+
+        few = durable(mixed.where(F.col("k") <= DENSE).select("s", "unit", "n").join(roots, "unit"))
+        other = few.select("s", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+        pairs = few.join(other, "s").where((F.col("unit") < F.col("b")) & (F.col("root") != F.col("other")) & _like("n", "m", least))
+        done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.select(F.col("unit").alias("a"), "b").distinct().join(done, ["a", "b"], "left_anti")
+        left = durable(sifted(prints, pairs, least).withColumn("differs", F.lit(False)))
+        roots = _merged(roots, verified(units, left, least).where("linked"))
+
+        groups = _differing(checked.where("rest is not null")).join(roots, "unit")
+    return roots

@@ -31,12 +31,13 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import near_copies
 from keyloom.llm._components import components
-from keyloom.llm._frames import durable, pieces
+from keyloom.llm._frames import drawn, durable, pieces
+from keyloom.llm._words import stretches
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
@@ -48,32 +49,32 @@ SPARSE = 1 << 14
 
 def fingerprint(text: bytes, size: int = 3) -> int:
     """Majority of the XXH64 bits of the word shingles, as a signed 64-bit number."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return 0
-    line = b" ".join(words)
-    if len(words) <= size:
-        shingles = [line]
-    else:
+    n, counts = 0, np.zeros(64, np.int64)
+    for part in stretches(text.translate(LOWER), size - 1):
+        words = part.split()
+        line = b" ".join(words)
         starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-        shingles = [line[a : b - 1] for a, b in zip(starts, starts[size:], strict=False)]
-    digest = xxhash.xxh64_digest
-    bits = np.unpackbits(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.uint8).reshape(-1, 8), axis=1)
-    n = len(shingles)
-    counts = np.add.reduceat(bits, np.arange(0, n, 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        hashes = b"".join([xxhash.xxh64_digest(line[a : b - 1], SEED) for a, b in zip(starts, starts[size:], strict=False)])
+        if hashes:
+            bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+            n += len(bits)
+            counts += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    if not n:
+        words = text.translate(LOWER).split()
+        return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), SEED), "big", signed=True) if words else 0
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, size: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, tag (of the text, to tell rows with one id apart), fp long; more: long columns that come along."""
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id, tag (64 bits of the text, to tell rows with one id apart), fp long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
             fp = pa.array([fingerprint(t, size) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, *batch.columns[3:]], ["doc_id", "tag", "fp", *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp], ["doc_id", "tag", "fp"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"), *more)
-    return picked.mapInArrow(run, ", ".join(["doc_id long, tag int, fp long", *(f"{c} long" for c in more)]))
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_copies.unit().alias("tag"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -153,9 +154,9 @@ def forest(values: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
 def links(classes: DataFrame, radius: int, sample: int, most: int, shard: int) -> DataFrame:
     """a, b: a spanning forest of the links between the distinct values of the column fp."""
     total = classes.count()
-    drawn = classes.orderBy(F.xxhash64("fp"), "fp").limit(min(most, max(sample, total // SPARSE))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    leaf = max(4.0, shard * len(drawn) / max(total, 1))
-    trees = [Tree(drawn >> np.uint64(32), leaf, 1), Tree(drawn & HALF, leaf, 2)]
+    some = drawn(classes.select("fp"), total, min(most, max(sample, total // SPARSE)), "fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    leaf = max(4.0, shard * len(some) / max(total, 1))
+    trees = [Tree(some >> np.uint64(32), leaf, 1), Tree(some & HALF, leaf, 2)]
 
     def scatter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,34 +178,42 @@ def links(classes: DataFrame, radius: int, sample: int, most: int, shard: int) -
     return rows.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, sample: int = 4096, most: int = 1 << 16, shard: int = 2048, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, tag, fp, fingerprint (hex), component_id, root (a fingerprint that names the component), more."""
-    marked = durable(fingerprints(docs, size, more))
+def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, sample: int = 4096, most: int = 1 << 16, shard: int = 2048) -> DataFrame:
+    """doc_id, tag, fp, fingerprint (hex), component_id, root (a fingerprint that names the component)."""
+    marked = durable(fingerprints(docs, size))
     classes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes, radius, sample, most, shard))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     out = marked.join(named.join(least, "root").select("fp", "component_id", "root"), "fp")
-    return out.select("doc_id", "tag", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *more)
+    return out.select("doc_id", "tag", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def similar(docs: DataFrame, similarity: float, **params) -> DataFrame:
     """doc_id, tag, root (a text's hash that names the component): by fingerprints or by shared five-word shingles."""
-    found = durable(near_duplicates(docs.withColumn("_unit", near_copies.unit()), more=("_unit",), **params).select("doc_id", "tag", "root", F.col("_unit").alias("unit")))
-    least = found.groupBy("root").agg(F.min("unit").alias("b"))
-    known = durable(found.select("unit", "root").distinct().join(least, "root").select(F.col("unit").alias("a"), "b"))
-    roots = components(known.union(near_copies.links(docs, known, similarity)))
-    return found.select("doc_id", "tag", "unit").join(roots, F.col("unit") == F.col("node"), "left").select("doc_id", "tag", F.coalesce("root", "unit").alias("root"))
+    found = durable(near_duplicates(docs, **params).select("doc_id", "tag", "root"))
+    least = found.groupBy("root").agg(F.min("tag").alias("least"))
+    known = durable(found.select(F.col("tag").alias("unit"), "root").distinct().join(least, "root").select("unit", F.col("least").alias("root")))
+    roots = near_copies.classes(docs, known, similarity)
+    return found.select("doc_id", "tag").join(roots, F.col("tag") == F.col("unit")).select("doc_id", "tag", "root")
 
 
 def keep_one(docs: DataFrame, similarity: float | None = None, **params) -> DataFrame:
     """The rows of docs that stay, unchanged: of each component the first by doc_id, then by the text's tag."""
-    found = near_duplicates(docs, **params) if similarity is None else similar(docs, similarity, **params)
-    picked = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first"))
-    stay = picked.select(F.col("first.doc_id").alias("_id"), F.col("first.tag").alias("_tag"))
-    same = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (F.hash(docs["text"]) == stay["_tag"]), "left_semi")
-    repeated = found.groupBy("doc_id", "tag").count().where("count > 1")
+    found = durable(near_duplicates(docs, **params).select("doc_id", "tag", "root") if similarity is None else similar(docs, similarity, **params))
+    rows = found.groupBy("doc_id", "tag", "root").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "times"))
+    stay = durable(rows.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.tag").alias("tag"), F.col("first.times").alias("times")))
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs["doc_id"].cast("long").eqNullSafe(some["id"]) & (near_copies.unit(docs["text"]) == some["tag"]), "left_semi")
+
+    lone = rows_of(stay.where("times = 1"))
+    repeated = stay.where("times > 1")
     if repeated.isEmpty():
-        return same
-    order = Window.partitionBy("doc_id", F.hash("text")).orderBy("doc_id")
-    return same.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+        return lone
+    # of rows that repeat, each task keeps one before any is moved
+    same = rows_of(repeated)
+    whole = F.first(F.struct(*(same[c] for c in same.columns))).alias("row")
+    again = same.groupBy(same["doc_id"].cast("long").alias("id"), near_copies.unit(same["text"]).alias("tag")).agg(whole)
+    return lone.union(again.select("row.*"))

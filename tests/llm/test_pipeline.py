@@ -20,6 +20,7 @@ def corpus():
     rng = random.Random(12)
     run = lambda words, n: " ".join(rng.choice(words) + rng.choice(["", "", "s", "er"]) for _ in range(n))
     rows = [(None, None, "en", "s", 0), (1, "", "en", "s", 0), (2, "12 34 !!", "de", "s", 8)]
+    rows += [(5, "Быстрая лиса прыгает через ленивую собаку", None, "s", 41), (6, "快速的棕色狐狸跳过懒狗然后回家睡觉", None, "s", 17)]
     items = [(k, run(EN, 20)) for k in range(8)]
     for i in range(10, 90):
         lang = "en" if i % 2 else "de"
@@ -31,7 +32,7 @@ def corpus():
         rows.append((i, text, lang, f"s{i % 3}", len(text)))
         if i % 5 == 0:
             rows.append((i + 1000, text if i % 2 else text + " ", lang, None, None))
-    return rows + [rows[20]], items
+    return rows + [rows[22]], items
 
 
 def test_stages_match_plain_code(spark, tmp_path):
@@ -43,9 +44,9 @@ def test_stages_match_plain_code(spark, tmp_path):
     got = __spark_entry__.queries()["pipeline"](spark, str(tmp_path)).collect()
 
     model = language_crf.train(docs, F.lit(True))
-    names, score = model.predict([(t or "").encode() for _, t, *_ in rows])
-    left = [r for r, name, s in zip(rows, names, score, strict=True) if name != "und" and s >= 0.3]
-    assert len(left) == len(rows) - 3
+    names, score, known = model.predict([(t or "").encode() for _, t, *_ in rows])
+    left = [r for r, name, s, k in zip(rows, names, score, known, strict=True) if name != "und" and s >= 0.3 and k >= 0.6]
+    assert len(left) == len(rows) - 5 and not {1, 2, 5, 6} & {r[0] for r in left}
     marks = groups([(r[0], r[1]) for r in left])
     first = {}
     for r, (_, _, _, g) in zip(left, marks, strict=True):
