@@ -20,6 +20,7 @@ are replaced); an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 
 #: Pieces of up to so many bytes are merged directly.
 LEAF = 24
+#: Above all ranks.
+NONE = 1 << 62
 #: Pieces that a task remembers.
 KEPT = 400_000
 
@@ -52,21 +55,17 @@ class Codec:
         get = self.ranks.get
         if (whole := get(data)) is not None:
             return [whole]
-        parts = [data[i : i + 1] for i in range(len(data))]
-        joint = [get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best = None
-            for i, r in enumerate(joint):
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                return [self.ranks[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del joint[at]
+        bounds = list(range(len(data) + 1))
+        joint = [get(data[i : i + 2], NONE) for i in bounds[:-2]]
+        while joint and (best := min(joint)) != NONE:
+            at = joint.index(best)
+            del bounds[at + 1], joint[at]
             if at < len(joint):
-                joint[at] = get(parts[at] + parts[at + 1])
+                joint[at] = get(data[bounds[at] : bounds[at + 2]], NONE)
             if at:
-                joint[at - 1] = get(parts[at - 1] + parts[at])
+                joint[at - 1] = get(data[bounds[at - 1] : bounds[at + 1]], NONE)
+        ranks = self.ranks
+        return [ranks[data[i:j]] for i, j in itertools.pairwise(bounds)]
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the two tokens side by side are encoded as themselves."""
