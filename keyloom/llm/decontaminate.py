@@ -47,6 +47,8 @@ BLOCK = 16
 SHINGLE = 5
 #: Passages are searched together until they have so many words, or open so many blocks.
 AT_ONCE = 1 << 18
+#: Entries of the table that finds a list by its key.
+TABLE = 1 << 22
 EPS = 1e-9
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
 
@@ -125,6 +127,11 @@ class Index:
         self.most = np.maximum.reduceat(self.share, start) if len(start) else np.zeros(0)
         self.lists = np.searchsorted(self.key, np.arange(len(self.terms) + 1) * self.blocks)
         self.top = np.maximum.reduceat(self.most, self.lists[:-1]) if len(self.terms) else np.zeros(0)
+        # where a list is, by its key: looked up in a table while that is small, else searched for
+        self.table = None
+        if len(self.terms) * self.blocks <= TABLE:
+            self.table = np.full(len(self.terms) * self.blocks, -1, np.int32)
+            self.table[self.key] = np.arange(len(self.key))
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 if no item has it."""
@@ -133,6 +140,13 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1).astype(np.int32)
 
+    def listed(self, key: np.ndarray) -> np.ndarray:
+        """The list of each key, -1 where there is none."""
+        if self.table is not None:
+            return self.table[key]
+        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[place] == key, place, -1)
+
     def opened(self, owner: np.ndarray, term: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Passage and block of all whose maxima may reach least, from pairs sorted by passage."""
         order = np.lexsort((self.top[term], owner))
@@ -176,9 +190,8 @@ class Index:
         for low in range(0, len(who), 1 << 12):
             own, mine = who[low : low + (1 << 12)], block[low : low + (1 << 12)]
             at, pair = _spread(begin[own], count[own])
-            key = term[at].astype(np.int64) * self.blocks + mine[pair]
-            place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            held = self.key[place] == key
+            place = self.listed(term[at].astype(np.int64) * self.blocks + mine[pair])
+            held = np.flatnonzero(place >= 0)
             place, pair = place[held], pair[held]
             able = np.bincount(pair, self.most[place], minlength=len(own)) >= least
             place, pair = place[able[pair]], pair[able[pair]]

@@ -113,8 +113,9 @@ def test_search_finds_all_above_the_threshold(monkeypatch):
         shares[i] = {x: v / sum(c.values()) for x, v in c.items()}
     queries = [sorted(rng.sample(range(len(index.terms)), 25)) for _ in range(60)]
     pairs = np.array([(3 * i, t) for i, terms in enumerate(queries) for t in terms])
-    for at_once in (1 << 18, 300):
+    for at_once, table in ((1 << 18, index.table), (300, None)):
         monkeypatch.setattr(dc, "AT_ONCE", at_once)
+        index.table = table
         for threshold in (0.2, 0.5, 0.8):
             want = {(3 * q, i, round(s, 9)) for q, terms in enumerate(queries) for i in shares if (s := sum(shares[i].get(t, 0.0) for t in terms)) >= threshold}
             assert {(p, index.ids[i], round(s, 9)) for p, i, s in index.search(pairs[:, 0], pairs[:, 1], threshold)} == want
