@@ -176,8 +176,10 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def _mixed(groups: DataFrame) -> DataFrame:
     """s, unit, n, root, k (texts of the group), hub, hub_n, hub_root: the rows of groups (s, unit, n, root) that span several classes."""
-    wide = groups.groupBy("s").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rows = durable(groups.join(wide.select("s", "k"), "s"))
+    # what spans classes is little of all: written on its own, its size is known, and while it is small it goes to the rows and not they to it
+    wide = durable(groups.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s"))
+    rows = groups.join(wide, "s")
+    rows = durable(rows.join(rows.groupBy("s").agg(F.count("*").alias("k")), "s"))
     rows = rows.join(rows.groupBy("unit").agg(F.sum("k").alias("w")), "unit")
     hub = rows.groupBy("s").agg(F.max(F.struct("w", "n", "unit", "root")).alias("hub"))
     return durable(rows.join(hub, "s").select("s", "unit", "n", "root", "k", F.col("hub.unit").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.root").alias("hub_root")))

@@ -43,6 +43,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
 HALF = np.uint64(0xFFFFFFFF)
 BLOCK = 256
+#: Ids of rows that are broadcast at most (24 bytes each).
+SENT = 1 << 21
 #: Distinct fingerprints for each one in the sample, once there are many.
 SPARSE = 1 << 14
 
@@ -201,19 +203,26 @@ def similar(docs: DataFrame, similarity: float, **params) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float | None = None, **params) -> DataFrame:
     """The rows of docs that stay, unchanged: of each component the first by doc_id, then by the text's tag."""
     found = durable(near_duplicates(docs, **params).select("doc_id", "tag", "root") if similarity is None else similar(docs, similarity, **params))
-    rows = found.groupBy("doc_id", "tag", "root").agg(F.count("*").alias("times"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "times"))
-    stay = durable(rows.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.tag").alias("tag"), F.col("first.times").alias("times")))
+    rows = durable(found.groupBy("doc_id", "tag", "root").agg(F.count("*").alias("times")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "times")).alias("first")
+    stay = durable(rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.tag").alias("tag"), F.col("first.times").alias("times")))
+    kinds = stay.agg(F.count("*").alias("all"), F.count_if(F.col("times") > 1).alias("repeated")).first()
+    others = rows.count() - kinds["all"]
 
-    def rows_of(some: DataFrame) -> DataFrame:
-        return docs.join(some, docs["doc_id"].cast("long").eqNullSafe(some["id"]) & (near_copies.unit(docs["text"]) == some["tag"]), "left_semi")
+    def rows_of(some: DataFrame, count: int, how: str) -> DataFrame:
+        side = F.broadcast(some) if count <= SENT else some
+        return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(some["id"]) & (near_copies.unit(docs["text"]) == some["tag"]), how)
 
-    lone = rows_of(stay.where("times = 1"))
     repeated = stay.where("times > 1")
-    if repeated.isEmpty():
+    if others + kinds["repeated"] <= SENT:  # few rows go: a list of them is sent, and no text is moved
+        goes = rows.select(F.col("doc_id").alias("id"), "tag").exceptAll(stay.where("times = 1").select("id", "tag"))
+        lone = rows_of(goes, others + kinds["repeated"], "left_anti")
+    else:
+        lone = rows_of(stay.where("times = 1"), kinds["all"], "left_semi")
+    if not kinds["repeated"]:
         return lone
     # of rows that repeat, each task keeps one before any is moved
-    same = rows_of(repeated)
+    same = rows_of(repeated, kinds["repeated"], "left_semi")
     whole = F.first(F.struct(*(same[c] for c in same.columns))).alias("row")
     again = same.groupBy(same["doc_id"].cast("long").alias("id"), near_copies.unit(same["text"]).alias("tag")).agg(whole)
     return lone.union(again.select("row.*"))

@@ -1,9 +1,11 @@
+import functools
 import random
 
 import numpy as np
 import xxhash
 
 from keyloom.llm import simhash_dedup as sd
+from keyloom.llm._words import stretches
 
 
 def plain(text):
@@ -49,12 +51,22 @@ def test_matches_brute_force(spark):
     assert sorted(got, key=str) == sorted((x[:3] for x in brute(rows)), key=str)
 
 
-def test_keeps_one_row_of_each_component(spark):
+def test_keeps_one_row_of_each_component(spark, monkeypatch):
     rows = corpus()
-    kept = sd.keep_one(frame(spark, rows))
-    assert kept.columns == ["doc_id", "text", "fp", "root", "component_id"]
     least = {g: x for *_, x, g in brute(rows)}
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(least.values(), key=str)
+    for sent in (sd.SENT, 0):
+        monkeypatch.setattr(sd, "SENT", sent)
+        kept = sd.keep_one(frame(spark, rows))
+        assert kept.columns == ["doc_id", "text", "fp", "root", "component_id"]
+        assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(least.values(), key=str)
+
+
+def test_fingerprint_of_a_long_text_is_made_in_stretches(monkeypatch):
+    texts = ["One two  three\nFOUR five " * 40, "one", "", "x " * 50, "a b", "long" * 30 + " b c d"]
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(sd, "stretches", functools.partial(stretches, size=size))
+        for t in texts:
+            assert sd.fingerprint(t.encode()) % 2**64 == plain(t)
 
 
 def test_empty_table(spark):
