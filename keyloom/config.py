@@ -12,6 +12,10 @@ from pathlib import Path
 class Options:
     #: Bytes of one generation of a log before it is rotated.
     log_bytes: int = 100 << 20
+    #: Bytes of uncompacted log at which a write is followed by a compaction; 0: never by itself.
+    compact_bytes: int = 0
+    #: Level of what the library reports through Python's logging: debug, info, warning, error.
+    trace: str = "warning"
     #: Buckets of a new table's snapshots; a point read opens one.
     buckets: int = 16
     #: Live share at or below which a snapshot version is rewritten.

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from functools import reduce
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyloom.sources.store import Store
+
 PERCENTILES = {"p99": 0.99, "p95": 0.95, "p90": 0.90, "p50": 0.50}
 #: Slower than before by more than this share is a regression.
 REGRESSION = 0.02
@@ -75,9 +76,13 @@ def compare(now: dict[str, float], before: dict[str, float]) -> dict[str, dict]:
     return out
 
 
-def save(path: str, result: dict) -> None:
-    Path(path).write_text(json.dumps(result, sort_keys=True))
+def save(spark: SparkSession, path: str, result: dict) -> None:
+    """Into a file on whatever file system Spark reaches; all or nothing."""
+    folder, _, name = path.rpartition("/")
+    Store(spark, folder).write(name, json.dumps(result, sort_keys=True))
 
 
-def load(path: str) -> dict:
-    return json.loads(Path(path).read_text()) if Path(path).exists() else {}
+def load(spark: SparkSession, path: str) -> dict:
+    folder, _, name = path.rpartition("/")
+    store = Store(spark, folder)
+    return json.loads(store.read(name)) if store.exists(name) else {}

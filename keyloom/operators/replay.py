@@ -139,6 +139,29 @@ def mutated(table: TableDef, intents: DataFrame, mutate, payload: str, snapshot:
     return rows.groupBy(*table.identity).applyInPandas(fold, table.schema)
 
 
+def mutated_by(table: TableDef, intents: DataFrame, change, payload: str, snapshot: DataFrame | None = None) -> DataFrame:
+    """Final rows where updates are an expression: change(row, payload) gives new values of columns that may change.
+
+    As mutated(), without Python: a key's intents since its last insert or delete are sorted and folded as one array.
+    """
+    rows = with_snapshot_payload(table, intents, snapshot, payload).where(F.col("_op") != "get")
+    anchors = rows.groupBy(*table.identity).agg(F.max_by(F.struct("_seq", "_op", "_row"), F.when(_anchors(), F.col("_seq"))).alias("_anchor"))
+    anchors = anchors.where(F.col("_anchor")["_op"] == "insert")
+    updates = rows.where(F.col("_op") == "update").select(*table.identity, F.struct("_seq", F.col(payload).alias("given")).alias("_update"))
+    later = updates.join(anchors, list(table.identity)).where(F.col("_update")["_seq"] > F.col("_anchor")["_seq"])
+    listed = later.groupBy(*table.identity).agg(F.array_sort(F.collect_list("_update")).alias("_updates"))
+    start = F.col("_anchor")["_row"]
+
+    def step(row: Column, update: Column) -> Column:
+        given = change(row, update["given"])
+        return F.struct(*(given.get(c, row[c]).cast(table.schema[c].dataType).alias(c) for c in table.schema.names))
+
+    joined = anchors.join(listed, list(table.identity), "left")
+    none = F.array().cast(listed.schema["_updates"].dataType)
+    first = F.struct(*((F.col(c) if c in table.identity else start[c]).alias(c) for c in table.schema.names))
+    return joined.select(F.aggregate(F.coalesce("_updates", none), first, step).alias("_row")).select("_row.*")
+
+
 def with_snapshot_payload(table: TableDef, intents: DataFrame, snapshot: DataFrame | None, payload: str) -> DataFrame:
     kept = intents.select("_seq", "_op", *table.identity, "_row", payload)
     if snapshot is None:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloom.config import Options
 from keyloom.functions import filters
 from keyloom.operators import latency, read, replay
 from keyloom.operators.placement import Ring, balance
@@ -203,6 +204,15 @@ def replay_user_mutator(spark, sf_dir):
     return replay.mutated(VALUES, log, lambda row, payload: row | {"v": payload}, "payload")
 
 
+@query(PREFIX + """, e as (select *, max(case when op <> 'update' then seq end) over (partition by k) s0 from i where op <> 'get')
+ select k, round(sum(v), 6) v from e where seq >= s0 group by k having arg_min(op, seq) = 'insert'""")
+def replay_expression_mutator(spark, sf_dir):
+    """Updates that add to what is there, as an expression over the row."""
+    log = event_intents(spark, sf_dir).withColumn("payload", F.col("_set")["v"]["v"])
+    summed = replay.mutated_by(VALUES, log, lambda row, payload: {"v": row["v"] + payload}, "payload")
+    return summed.select("k", F.round("v", 6).alias("v"))
+
+
 @query(PREFIX + """, g as (select k, list(op order by seq) ops, count(*) n from i group by k) select k, n, array_to_string(ops, ',') ops from g""")
 def intents_by_key(spark, sf_dir):
     """A key's intents in the log's order."""
@@ -284,6 +294,18 @@ def mutate_and_compact(spark, sf_dir):
     return table.rows()
 
 
+@query("select c_custkey, c_name, c_nationkey, case when c_custkey % 2 = 0 then 2.5::double else c_acctbal end c_acctbal, c_mktsegment from customer where c_custkey % 5 <> 0")
+def compact_by_policy(spark, sf_dir):
+    """A table that compacts itself once its log holds more than the options allow."""
+    rows = load(spark, sf_dir, "customer")
+    table = Engine(spark, scratch(spark), Options(compact_bytes=1)).register(table_def(rows, "customer", "c_custkey"))
+    table.insert(rows)
+    table.update(rows.where("c_custkey % 2 = 0").select("c_custkey", F.lit(2.5).alias("c_acctbal")))
+    table.delete(rows.where("c_custkey % 5 = 0").select("c_custkey"))
+    assert not table.intents().head(1)
+    return table.snapshot()
+
+
 @query("""select idx, ok from (values (0::bigint, true), (1, true), (2, true), (3, true), (4, false), (5, true), (6, true), (7, true), (8, false), (9, false)) r(idx, ok)""")
 def batch_acks(spark, sf_dir):
     """One ordered batch over two tables; each operation sees those before it."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections import OrderedDict
 
@@ -23,6 +24,9 @@ class Engine:
         self.database = Database()
         self.residency = Residency(self)
         self._tables: dict[str, Table] = {}
+        #: Streaming queries that write into these tables.
+        self.streams: list = []
+        logging.getLogger("keyloom").setLevel(self.options.trace.upper())
 
     def register(self, definition: TableDef) -> Table:
         self.database.register(definition)
@@ -39,8 +43,15 @@ class Engine:
         for table in self._tables.values():
             table.compact()
 
-    def close(self) -> None:
-        """Leave memory; what was acknowledged is on disk already."""
+    def close(self, compact: bool = False) -> None:
+        """Let streams end their micro-batch and stop, compact if asked to, leave memory. What was acknowledged is on disk already."""
+        while self.streams:
+            query = self.streams.pop()
+            if query.isActive:
+                query.processAllAvailable()
+                query.stop()
+        if compact:
+            self.compact()
         self.residency.clear()
 
 
@@ -187,6 +198,7 @@ class Residency:
             goal = used * (1 - self.engine.options.freed)
             while self.held and self.size() > goal:
                 name, frame = self.held.popitem(last=False)
+                logging.getLogger("keyloom.residency").info("%s leaves memory", name)
                 frame.unpersist(blocking=True)
                 gone.append(name)
         return gone

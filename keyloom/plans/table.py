@@ -12,6 +12,7 @@ the buckets that the log touches into a new version, publishes it, and only then
 
 from __future__ import annotations
 
+import logging
 from contextlib import contextmanager
 from functools import reduce
 
@@ -24,6 +25,8 @@ from keyloom.operators import read, replay
 from keyloom.schema import TableDef
 from keyloom.sources.store import Store
 
+log_ = logging.getLogger("keyloom.table")
+
 CURRENT, LOCK, LAST = "CURRENT", "LOCK", "_last-"
 
 
@@ -157,20 +160,27 @@ class Table:
         """Upsert every row (later rows of one key win); always acknowledged."""
         with self.locked():
             self._commit(ops.insert_intents(self.definition, self._no_null_keys(self.definition.checked(rows)), self._numbered()))
+        self.maintain()
 
     def delete(self, keys: DataFrame) -> DataFrame:
         """Delete by identity columns; returns them with ack: whether the row was there."""
         with self.locked():
             first = self.next_seq()
             self._commit(ops.delete_intents(self.definition, self._no_null_keys(keys), self._numbered()))
-        return self.acks(first)
+        return self._answered(first)
 
     def update(self, changes: DataFrame) -> DataFrame:
         """Set the given columns of the rows named by the identity columns; returns acks."""
         with self.locked():
             first = self.next_seq()
             self._commit(ops.update_intents(self.definition, self._no_null_keys(changes), self._numbered()))
-        return self.acks(first)
+        return self._answered(first)
+
+    def _answered(self, first: int) -> DataFrame:
+        """The acknowledgements, over files that a compaction leaves where they are."""
+        found = self.acks(first)
+        self.maintain()
+        return found
 
     def acks(self, first: int) -> DataFrame:
         """Acknowledgements from sequence first on; only the history of the keys that they are about is read back."""
@@ -246,8 +256,16 @@ class Table:
             versions = {b: v for b, v in manifest["versions"].items() if int(b) not in touched} | {str(b): version for b in alive}
             seq = max([manifest["next_seq"], *(r["last"] for r in found)])
             self.store.publish(CURRENT, manifest | {"versions": versions, "first": upto, "next_version": version + 1, "next_seq": seq})
+            log_.info("%s: version %d has %d buckets", self.definition.name, version, len(alive))
             return version
 
+    def maintain(self) -> None:
+        """Compact if the uncompacted log is larger than the options allow."""
+        if self.store is None or not self.options.compact_bytes:
+            return
+        if sum(self.store.size(f"log/gen={g}") for g in self.generations()) > self.options.compact_bytes:
+            self.compact()
+
     def _write(self, version: int, rows: DataFrame) -> list[int]:
         """Write buckets of a version; returns those that have rows.
 
@@ -293,6 +311,7 @@ class Table:
                 buckets = [f"snapshots/{v}/{b}" for b in self.store.names(f"snapshots/{v}") if b.startswith("b=")]
                 for b in buckets:
                     if b not in live:
+                        log_.debug("%s: %s goes", self.definition.name, b)
                         self.store.delete(b)
                 if not live & set(buckets):
                     self.store.delete(f"snapshots/{v}")

@@ -19,14 +19,21 @@ def tail(spark: SparkSession, path: str, definition: TableDef, files_a_batch: in
     return spark.readStream.schema(definition.intents).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def ingest(stream: DataFrame, table: Table, checkpoint: str, name: str):
-    """Append each micro-batch to the table's log. A batch that is run again replaces itself."""
+def ingest(stream: DataFrame, table: Table, checkpoint: str, name: str, once: bool = True):
+    """Append each micro-batch to the table's log: what there is now, or on and on until the engine closes.
+
+    A batch that is run again replaces itself.
+    """
 
     def append(frame: DataFrame, epoch: int) -> None:
         with table.locked():
             table.append(frame, batch=f"{name}-{epoch:012d}")
+        table.maintain()
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    table.engine.streams.append(query)
+    return query
 
 
 def fold(stream: DataFrame, definition: TableDef, mutate: Callable[[dict, dict], dict] | None = None) -> DataFrame:

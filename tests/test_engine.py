@@ -279,3 +279,21 @@ def test_skip_over_responses(spark, engine):
     result = batch.execute()
     assert [r["index"] for r in result.skip(2).orderBy("index").collect()] == [2, 3]
     assert result.skip(0).count() == result.skip(-1).count() == 4 and result.skip(9).count() == 0
+
+
+def test_a_table_compacts_itself_and_a_closed_engine_stops_its_streams(spark, tmp_path):
+    from keyloom.ops import insert_intents
+    from keyloom.streaming import tail
+
+    engine = Engine(spark, str(tmp_path / "own"), Options(buckets=2, compact_bytes=1, trace="info"))
+    table = engine.register(ONE)
+    table.insert(frame(spark, ONE, [one(k) for k in range(6)]))
+    acks = table.delete(spark.createDataFrame([(1,), (77,)], "k long"))
+    assert table.intents().count() == 0 and table.snapshot().count() == 5
+    assert sorted((r.k, r.ack) for r in acks.collect()) == [(1, True), (77, False)]
+    feed = insert_intents(ONE, frame(spark, ONE, [one(k) for k in range(6, 9)]), F.lit(1000).cast("long") + F.monotonically_increasing_id())
+    feed.write.parquet(str(tmp_path / "feed"))
+    query = tail.ingest(tail.tail(spark, str(tmp_path / "feed"), ONE), table, str(tmp_path / "state"), "feed", once=False)
+    assert query.isActive
+    engine.close(compact=True)
+    assert not query.isActive and table.rows().count() == 8

@@ -36,9 +36,9 @@ def test_percentiles_and_regressions(spark, tmp_path):
     at = lambda p: sorted(values)[min(math.ceil(len(values) * p), len(values) - 1)]
     assert (got.p99, got.p90, got.p50, got.min, got.max, got.n) == (at(0.99), at(0.9), at(0.5), 1.0, 9.0, 7)
     path = str(tmp_path / "b.json")
-    assert latency.load(path) == {}
-    latency.save(path, {"q": 1.0, "r": 2.0})
-    change = latency.compare({"q": 1.05, "r": 2.01, "new": 1.0}, latency.load(path))
+    assert latency.load(spark, path) == {}
+    latency.save(spark, path, {"q": 1.0, "r": 2.0})
+    change = latency.compare({"q": 1.05, "r": 2.01, "new": 1.0}, latency.load(spark, path))
     assert change["q"]["regression"] and not change["r"]["regression"] and "new" not in change
 
 
