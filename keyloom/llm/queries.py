@@ -91,7 +91,36 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item that a document holds: question and answer, or the whole item, at 0.8 of their five-word shingles."""
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap", "overlap")})
+
+
+#: Every passage against every item that shares a word with it, without blocks or bounds.
+OP9_SQL = rf"""
+with folded as (select row_number() over () ir, item_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') ws from benchmark),
+items as (select *, len(ws) n from folded where len(ws) > 0),
+figures as (select count(*) items, avg(n) mean, greatest(32, max(n)) step from items),
+terms as (select ir, w, n, count(*) tf from (select ir, n, unnest(ws) w from items) group by all),
+held as (select w, count(*) df from terms group by w),
+weighed as (select ir, w, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * ({decontaminate.K1} + 1) / (tf + {decontaminate.K1} * (1 - {decontaminate.B} + {decontaminate.B} * n / greatest(mean, 1)))::double c
+  from terms join held using (w), figures),
+shares as (select ir, w, c / sum(c) over (partition by ir) share from weighed),
+docs as (select row_number() over () dr, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') ws from documents),
+places as (select dr, ws, step, unnest(range(greatest(1, ceil((len(ws) - step) / step::double)::bigint))) k from docs, figures),
+passages as (select dr, k, ws[k * step + 1 : (k + 2) * step] ws from places),
+scored as (select dr, k, ir, sum(share) score from (select dr, k, unnest(list_distinct(ws)) w from passages) join shares using (w) group by all having sum(share) >= 0.5 - 1e-9),
+parts as (select ir, 'q' part, ws[1 : n - n // 3] p from items union all select ir, 'a', ws[n - n // 3 + 1 :] from items union all select ir, 'e', ws from items),
+sized as (select *, least({decontaminate.SHINGLE}, len(p)) s from parts),
+owned as (select ir, part, s, list_distinct(list_transform(range(1, len(p) - s + 2), lambda i: array_to_string(p[i : i + s - 1], ' '))) own from sized),
+asked as (select distinct dr, k, s from scored join owned using (ir) where s > 0),
+having_ as (select dr, k, s, list_distinct(list_transform(range(1, len(ws) - s + 2), lambda i: array_to_string(ws[i : i + s - 1], ' '))) have from asked join passages using (dr, k)),
+covered as (select dr, k, ir, score, part, case when s = 0 then 1.0::double else len(list_intersect(own, have)) / len(own)::double end share
+  from scored join owned using (ir) left join having_ using (dr, k, s)),
+wide as (select dr, k, ir, score, max(share) filter (where part = 'q') q, max(share) filter (where part = 'a') a, max(share) filter (where part = 'e') e from covered group by all),
+best as (select *, row_number() over (partition by dr, ir order by score desc, q desc, a desc, e desc) place from wide where (q >= 0.8 and a >= 0.8) or e >= 0.8)
+select doc_id, item_id, round(score, 6) score, round(q, 6) question_overlap, round(a, 6) answer_overlap, round(e, 6) overlap
+from best join docs using (dr) join items using (ir) where place = 1
+"""
 
 
 #: The rules of the contract: verdict, host, path.
@@ -139,4 +168,4 @@ from ruled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_multiset_fingerprint, op4_simhash_dedup, op5_quality_gam, op6_language_crf, op7_stratified_interleave, op8_byte_bpe, op9_benchmark_decontamination, op10_url_filter)}
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op7_stratified_interleave": OP7_SQL, "op10_url_filter": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op7_stratified_interleave": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL, "op10_url_filter": OP10_SQL}
