@@ -14,8 +14,8 @@ are linear.
 The model also keeps which byte trigrams its training text had (a bitmap of two million bytes). The share of a
 document's trigrams among them, ``known``, says whether its language can be one of those learned at all.
 
-Training: documents are drawn by a hash of id and text, about ``per_language`` of each language, and up to
-``segments`` runs of words from hashed places anywhere in each; only those are collected, repeated rows once. Training chains are
+Training: texts are drawn by their hash, each once however often it occurs, about ``per_language`` of each language, and up to
+``segments`` runs of words from hashed places anywhere in each; only those are collected. Training chains are
 spliced from segments of one to three languages, so transitions are learned from code-switched chains. The
 fit is by minibatch AdaGrad on the exact gradient; all random choices are seeded. The weights (a few MB,
 fixed by the table size and the number of languages) are broadcast.
@@ -293,8 +293,8 @@ def train(docs: DataFrame, learn: Column, per_language: int = 400, segments: int
     """learn: a condition on doc_id, true where lang may be used."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & learn)
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "doc_id", "text"), 32) / float(1 << 32)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "text"), 32) / float(1 << 32)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect() if r["n"]}
     if not counts:
         return fit([])
     share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))))
@@ -302,18 +302,19 @@ def train(docs: DataFrame, learn: Column, per_language: int = 400, segments: int
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches):
             out = []
-            for doc_id, lang, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts, strict=True):
+            for name, lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
                 words = text.split()
                 for k in range(min(segments, 1 + len(words) // 24)):
-                    rng = np.random.default_rng([abs(doc_id or 0), k])
+                    rng = np.random.default_rng([name & (1 << 63) - 1, k])
                     size = int(rng.integers(4, 25))
                     at = int(rng.integers(max(1, len(words) - size + 1)))
-                    out.append((doc_id, k, lang, b" ".join(words[at : at + size])))
-            ids, ks, langs, runs = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int32()), pa.array(langs, pa.string()), pa.array(runs, pa.binary())], ["doc_id", "k", "lang", "run"])
+                    out.append((lang, name, k, b" ".join(words[at : at + size])))
+            langs, names, ks, runs = zip(*out, strict=True) if out else ((), (), (), ())
+            columns = [pa.array(langs, pa.string()), pa.array(names, pa.int64()), pa.array(ks, pa.int32()), pa.array(runs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "name", "k", "run"])
 
-    drawn = rows.where(unit < F.try_element_at(share, "lang")).mapInArrow(cut, "doc_id long, k int, lang string, run binary").distinct()
-    found = drawn.toPandas().sort_values(["lang", "doc_id", "k", "run"])
+    some = rows.where(unit < F.try_element_at(share, "lang")).select(F.xxhash64("text").alias("name"), "lang", "text").dropDuplicates(["name", "lang"])
+    found = some.mapInArrow(cut, "lang string, name long, k int, run binary").toPandas().sort_values(["lang", "name", "k"])
     return fit(list(zip(found["lang"], map(bytes, found["run"]), strict=True)), **params)
 
 

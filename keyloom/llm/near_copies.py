@@ -47,6 +47,8 @@ SHINGLE = 5
 SAMPLE, FREQUENT = 32, 1 << 17
 #: Texts of a group that are compared with each other rather than by their differences from the hub.
 DENSE = 256
+#: Numbers of groups that are broadcast at most (8 bytes each).
+SENT = 1 << 19
 
 
 def unit(text: Column | str = "text") -> Column:
@@ -176,9 +178,9 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def _mixed(groups: DataFrame) -> DataFrame:
     """s, unit, n, root, k (texts of the group), hub, hub_n, hub_root: the rows of groups (s, unit, n, root) that span several classes."""
-    # what spans classes is little of all: written on its own, its size is known, and while it is small it goes to the rows and not they to it
+    # what spans classes is little of all: while it is small it goes to the rows, and not they to it
     wide = durable(groups.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s"))
-    rows = groups.join(wide, "s")
+    rows = groups.join(F.broadcast(wide) if wide.count() <= SENT else wide, "s")
     rows = durable(rows.join(rows.groupBy("s").agg(F.count("*").alias("k")), "s"))
     rows = rows.join(rows.groupBy("unit").agg(F.sum("k").alias("w")), "unit")
     hub = rows.groupBy("s").agg(F.max(F.struct("w", "n", "unit", "root")).alias("hub"))
@@ -210,7 +212,7 @@ def classes(docs: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     prints = durable(units.mapInArrow(functools.partial(_prints, sent, least), "unit long, n int, bits binary, prefix array<long>").dropDuplicates(["unit"]))
 
     groups = prints.join(roots, "unit").select(F.explode("prefix").alias("s"), "unit", "n", "root")
-    while not (mixed := _mixed(groups)).isEmpty():
+    while groups is not None and not (mixed := _mixed(groups)).isEmpty():
         stars = mixed.where("unit <> hub").groupBy(F.col("hub").alias("a"), F.col("unit").alias("b"), F.col("hub_n").alias("m"), "n", F.expr("root <> hub_root").alias("cross"))
         stars = durable(stars.agg((F.max("k") > DENSE).alias("differs")).where(F.col("differs") | (F.col("cross") & _like("n", "m", least))).select("a", "b", "differs"))
         near = sifted(prints, stars.where("not differs").select("a", "b"), least).withColumn("differs", F.lit(False))
@@ -225,5 +227,6 @@ def classes(docs: DataFrame, roots: DataFrame, least: float) -> DataFrame:
         left = durable(sifted(prints, pairs, least).withColumn("differs", F.lit(False)))
         roots = _merged(roots, verified(units, left, least).where("linked"))
 
-        groups = _differing(checked.where("rest is not null")).join(roots, "unit")
+        differ = checked.where("rest is not null")
+        groups = None if differ.isEmpty() else _differing(differ).join(roots, "unit")
     return roots

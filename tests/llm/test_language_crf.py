@@ -139,3 +139,17 @@ def test_awkward_rows(spark):
     nothing = crf.train(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in crf.predict(docs, nothing).collect()} == {"und"}
     assert crf.predict(docs.limit(0), model).collect() == []
+
+
+def test_copies_are_learned_from_once(spark):
+    hot = [(k, "the house is on the hill", "en") for k in range(3000)]
+    rest = [(5000 + k, f"das haus {'abcdefghij'[k % 10]}{'klmnop'[k % 6]} steht auf dem berg", "de") for k in range(60)]
+    docs = spark.createDataFrame(hot + rest, "doc_id long, text string, lang string")
+    seen = []
+    fit = crf.fit
+    crf.fit = lambda segments, **params: seen.extend(segments) or fit(segments, **params)
+    try:
+        crf.train(docs, F.lit(True), chains=20)
+    finally:
+        crf.fit = fit
+    assert sum(lang == "en" for lang, _ in seen) == 1 and sum(lang == "de" for lang, _ in seen) == 30
