@@ -97,7 +97,7 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def pieces(batches: Iterable[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def pieces(batches: Iterable[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of about ``size`` bytes of text (one document at least) with the texts as UTF-8; null is empty."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text"))

@@ -14,7 +14,7 @@ are linear.
 The model also keeps which byte trigrams its training text had (a bitmap of two million bytes). The share of a
 document's trigrams among them, ``known``, says whether its language can be one of those learned at all.
 
-Training: texts are drawn by their hash, each once however often it occurs, about ``per_language`` of each language, and up to
+Training: about ``per_language`` rows of each language are drawn by a hash of id and text, of equal texts one, and up to
 ``segments`` runs of words from hashed places anywhere in each; only those are collected. Training chains are
 spliced from segments of one to three languages, so transitions are learned from code-switched chains. The
 fit is by minibatch AdaGrad on the exact gradient; all random choices are seeded. The weights (a few MB,
@@ -293,8 +293,8 @@ def train(docs: DataFrame, learn: Column, per_language: int = 400, segments: int
     """learn: a condition on doc_id, true where lang may be used."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & learn)
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "text"), 32) / float(1 << 32)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect() if r["n"]}
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "doc_id", "text"), 32) / float(1 << 32)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return fit([])
     share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))))
