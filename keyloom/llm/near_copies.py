@@ -34,6 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,10 +145,11 @@ def difference(own: np.ndarray, hub: np.ndarray, linked: bool, least: float) ->
 
 def _verify(least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, linked, and where differs is set: n (of b), b's difference from a and the size of its prefix."""
+    opened = zstandard.ZstdDecompressor()
     for batch in batches:
         texts, differs = batch.select(["x", "y"]), batch.column(2).to_pylist()
         for low in range(0, batch.num_rows, 64):
-            a, b = ([t or b"" for t in texts.column(k).slice(low, 64).cast(pa.binary()).to_pylist()] for k in (0, 1))
+            a, b = ([opened.decompress(t) for t in texts.column(k).slice(low, 64).to_pylist()] for k in (0, 1))
             linked, n, rest, first = [], [], [], []
             for x, y, wanted in zip(shingles(a), shingles(b), differs[low : low + 64], strict=True):
                 linked.append(alike(x, y, least))
@@ -159,10 +161,18 @@ def _verify(least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "n", "rest", "first"])
 
 
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for batch, texts in pieces(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(t) for t in texts], pa.binary())], ["unit", "text"])
+
+
 def verified(units: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """a, b, linked, n, rest, first: pairs has a, b and differs (whether rest is wanted)."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-    texts = units.join(needed, "unit", "left_semi").groupBy("unit").agg(F.min("text").alias("text"))
+    # texts travel compressed, as a pair holds two of them and a batch thousands of pairs
+    packed = units.join(needed, "unit", "left_semi").mapInArrow(_packed, "unit long, text binary")
+    texts = packed.groupBy("unit").agg(F.min("text").alias("text"))
     both = pairs.join(texts.select(F.col("unit").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(texts.select(F.col("unit").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "differs", "x", "y")
     return both.mapInArrow(functools.partial(_verify, least), "a long, b long, linked boolean, n int, rest array<long>, first int")
