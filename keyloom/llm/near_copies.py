@@ -48,8 +48,6 @@ SHINGLE = 5
 SAMPLE, FREQUENT = 32, 1 << 17
 #: Texts of a group that are compared with each other rather than by their differences from the hub.
 DENSE = 256
-#: Numbers of groups that are broadcast at most (8 bytes each).
-SENT = 1 << 19
 
 
 def unit(text: Column | str = "text") -> Column:
@@ -188,9 +186,9 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def _mixed(groups: DataFrame) -> DataFrame:
     """s, unit, n, root, k (texts of the group), hub, hub_n, hub_root: the rows of groups (s, unit, n, root) that span several classes."""
-    # what spans classes is little of all: while it is small it goes to the rows, and not they to it
+    # what spans classes is little of all: written on its own, its size is known to the join
     wide = durable(groups.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s"))
-    rows = groups.join(F.broadcast(wide) if wide.count() <= SENT else wide, "s")
+    rows = groups.join(wide, "s")
     rows = durable(rows.join(rows.groupBy("s").agg(F.count("*").alias("k")), "s"))
     rows = rows.join(rows.groupBy("unit").agg(F.sum("k").alias("w")), "unit")
     hub = rows.groupBy("s").agg(F.max(F.struct("w", "n", "unit", "root")).alias("hub"))
