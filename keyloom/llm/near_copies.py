@@ -11,16 +11,13 @@ text is compared with one, the group's hub: the text that shares most with the o
 What is then left apart is settled
 
 * in groups of up to ``DENSE`` texts by comparing those of different classes;
-* in larger groups by differences from the hub. Let X be the set of shingles that only one of x and the hub has. Two
-  texts of different classes have |X| + |Y| - 2 |X and Y| shingles that only one of them has; similar ones have at most
-  c (n + m), c = (1 - least) / (1 + least), and the one that isn't like the hub has more than that from the hub. So
-  |X and Y| has a least value, and X and Y meet in their prefixes (what few texts differ in first). Texts with a hub and
-  an element of that prefix in common are the groups of the next round. As an edit leaves shingles that no other copy
-  has, a group of k copies of one original costs k comparisons and a few rows a text, not k squared.
+* in larger groups by bitmaps: one task holds a block of the group's texts and a block of those outside its largest class
+  (a pair of different classes has one of them) as bitmaps of eight bits a shingle, and compares them by counting bits,
+  so no pair is a row before it has passed. First each text gives the pair that differs least, round by round until no
+  class grows by one; then all pairs of different classes that pass, few by then, as the bitmaps are near exact.
 
-Each round takes the hub out of its groups, so rounds end. Before texts are moved, candidates go through a sieve that
-loses no pair: a text's bitmap has the parity of its shingles by their last bits, so that two bitmaps differ in at most
-as many bits as the sets have shingles apart.
+Before texts are moved, candidates go through a sieve that loses no pair: a text's bitmap has the parity of its shingles
+by their last bits, so that two bitmaps differ in at most as many bits as the sets have shingles apart.
 
 Defined results: equal texts are one unit; null and empty texts have no shingles and are like nothing else here.
 A text is held whole, with some twenty times its size of arrays beside it.
@@ -34,6 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +44,10 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SHINGLE = 5
 #: One text in so many is counted for the order; so many frequent shingles are known.
 SAMPLE, FREQUENT = 32, 1 << 17
-#: Texts of a group that are compared with each other rather than by their differences from the hub.
+#: Texts of a group that are compared with each other as rows rather than by bitmaps.
 DENSE = 256
+#: Texts of a block of bitmaps; bits of a bitmap beyond which it has no more than a short one.
+BLOCK, WIDE = 1 << 12, 1 << 13
 
 
 def unit(text: Column | str = "text") -> Column:
@@ -96,7 +96,7 @@ def _prints(sent, least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[p
     for batch, texts in pieces(batches):
         sets = list(shingles(texts))
         sizes = [max(64, 1 << len(x).bit_length()) for x in sets]
-        bits = [np.packbits(np.bincount(x & (k - 1), minlength=k) & 1).tobytes() for x, k in zip(sets, sizes, strict=True)]
+        bits = [parity(x, k) for x, k in zip(sets, sizes, strict=True)]
         first = [ordered(x, sent.value)[: prefix(len(x), least)] if len(x) else x for x in sets]
         columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["unit", "n", "bits", "prefix"])
@@ -142,21 +142,14 @@ def difference(own: np.ndarray, hub: np.ndarray, linked: bool, least: float) ->
 
 
 def _verify(least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, linked, and where differs is set: n (of b), b's difference from a and the size of its prefix."""
+    """a, b: the pairs that are alike."""
     opened = zstandard.ZstdDecompressor()
     for batch in batches:
-        texts, differs = batch.select(["x", "y"]), batch.column(2).to_pylist()
+        texts = batch.select(["x", "y"])
         for low in range(0, batch.num_rows, 64):
             a, b = ([opened.decompress(t) for t in texts.column(k).slice(low, 64).to_pylist()] for k in (0, 1))
-            linked, n, rest, first = [], [], [], []
-            for x, y, wanted in zip(shingles(a), shingles(b), differs[low : low + 64], strict=True):
-                linked.append(alike(x, y, least))
-                n.append(len(y))
-                only, size = difference(y, x, linked[-1], least) if wanted else (None, None)
-                rest.append(only)
-                first.append(size)
-            columns = [*batch.select(["a", "b"]).slice(low, 64).columns, pa.array(linked, pa.bool_()), pa.array(n, pa.int32()), pa.array(rest, pa.list_(pa.int64())), pa.array(first, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "n", "rest", "first"])
+            linked = [alike(x, y, least) for x, y in zip(shingles(a), shingles(b), strict=True)]
+            yield batch.select(["a", "b"]).slice(low, 64).filter(pa.array(linked, pa.bool_()))
 
 
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +159,14 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(units: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """a, b, linked, n, rest, first: pairs has a, b and differs (whether rest is wanted)."""
+    """a, b: the pairs whose texts are alike."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
     # texts travel compressed, as a pair holds two of them and a batch thousands of pairs
     packed = units.join(needed, "unit", "left_semi").mapInArrow(_packed, "unit long, text binary")
     texts = packed.groupBy("unit").agg(F.min("text").alias("text"))
     both = pairs.join(texts.select(F.col("unit").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("unit").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "differs", "x", "y")
-    return both.mapInArrow(functools.partial(_verify, least), "a long, b long, linked boolean, n int, rest array<long>, first int")
+    both = both.join(texts.select(F.col("unit").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(functools.partial(_verify, least), "a long, b long")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -195,15 +188,85 @@ def _mixed(groups: DataFrame) -> DataFrame:
     return durable(rows.join(hub, "s").select("s", "unit", "n", "root", "k", F.col("hub.unit").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.root").alias("hub_root")))
 
 
-def _differing(checked: DataFrame) -> DataFrame:
-    """s, unit, n: the groups of texts with a hub (a) and an element of their differences' prefixes in common, what few differ in first."""
-    every = checked.select("a", "b", "n", "first", F.explode("rest").alias("e"))
-    many = every.groupBy("a", "e").agg(F.count("*").alias("many")).where("many > 1")  # what one differs in makes no group, but fills its prefix
-    shared = every.join(many, ["a", "e"]).groupBy("a", "b", "n", "first").agg(F.array_sort(F.collect_list(F.struct("many", "e"))).alias("rest"), F.count("*").alias("size"))
-    alone = checked.select("a", "b", F.size("rest").alias("whole"))
-    left = shared.join(alone, ["a", "b"]).withColumn("first", F.greatest(F.lit(0), F.col("first") - (F.col("whole") - F.col("size"))).cast("int"))
-    chosen = left.select("a", "b", "n", F.explode(F.slice("rest", F.lit(1), F.col("first"))).alias("e"))
-    return chosen.select(F.xxhash64("a", "e.e").alias("s"), F.col("b").alias("unit"), "n")
+def parity(own: np.ndarray, size: int) -> bytes:
+    return np.packbits(np.bincount(own & (size - 1), minlength=size) & 1).tobytes()
+
+
+def _widths(n: int) -> int:
+    """Bits of a wide bitmap: eight a shingle at least, from WIDE on one; sizes of one binary length have the same, of the next up to twice as many."""
+    return max(64, 1 << n.bit_length(), min(8 << n.bit_length(), WIDE))
+
+
+def _wide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in pieces(batches):
+        bits = [parity(x, _widths(len(x))) for x in shingles(texts)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["unit", "bits"])
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) of so many words: the parity of the same sets by fewer bits."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def _compare(least: float, every: bool, block: pa.Table) -> pa.Table:
+    """a, b: pairs of a late text and any other, of different classes, that can be alike; unless every, of each late text the one that differs least."""
+    unit, n, root, late = (block.column(c).to_numpy() for c in ("unit", "n", "root", "late"))
+    size = pc.binary_length(block.column("bits")).to_numpy()
+    at = {w: np.flatnonzero(size == w) for w in np.unique(size).tolist()}
+    maps, bits = {}, block.column("bits")
+    for w, rows in at.items():
+        rows = at[w] = rows[np.argsort(n[rows], kind="stable")]
+        maps[w] = np.frombuffer(b"".join(bits.take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1)
+    best: dict[int, tuple[float, int]] = {}
+    a, b = [], []
+    for w, rows in at.items():
+        mine = np.flatnonzero(late[rows])
+        for v in (w // 2, w, 2 * w) if len(mine) else ():
+            if v not in at:
+                continue
+            words = min(w, v) // 8
+            other = at[v][~late[at[v]]]
+            fine = folded(maps[v][~late[at[v]]], words), folded(maps[w][mine], words)
+            coarse = [folded(x, max(1, words // 8)) for x in fine]
+            sizes = n[other]
+            for i, x in enumerate(rows[mine].tolist()):
+                low, high = np.searchsorted(sizes, [least * n[x] - 1e-6, n[x] / least + 1e-6])
+                most = (sizes[low:high] + n[x]) * ratio(least) + 1e-6
+                near = np.flatnonzero((np.bitwise_count(coarse[0][low:high] ^ coarse[1][i]).sum(axis=1, dtype=np.int64) <= most) & (root[other[low:high]] != root[x]))
+                if not len(near):
+                    continue
+                off = np.bitwise_count(fine[0][low + near] ^ fine[1][i]).sum(axis=1, dtype=np.int64)
+                near, off = near[off <= most[near]], off[off <= most[near]]
+                if every:
+                    a.append(np.full(len(near), unit[x]))
+                    b.append(unit[other[low + near]])
+                elif len(near):
+                    share = off / most[near]
+                    k = int(share.argmin())
+                    best[x] = min(best.get(x, (2.0, 0)), (float(share[k]), int(unit[other[low + near[k]]])))
+    if not every:
+        a, b = [unit[list(best)]] if best else [], [np.array([y for _, y in best.values()], np.int64)] if best else []
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _crossing(large: DataFrame, wide: DataFrame, roots: DataFrame, least: float, every: bool) -> DataFrame:
+    """a, b: of the groups large (s, unit, n), pairs of texts of different classes that can be alike."""
+    rows = large.join(roots, "unit")
+    held = rows.groupBy("s", "root").agg(F.count("*").alias("m")).groupBy("s").agg(F.sum("m").alias("k"), F.max(F.struct("m", "root")).alias("main"))
+    held = held.select("s", F.col("main.root").alias("main"), F.ceil(F.col("k") / BLOCK).alias("wholes"), F.ceil((F.col("k") - F.col("main.m")) / BLOCK).alias("lates"))
+    rows = rows.join(held.where("lates > 0"), "s")
+    late = F.col("root") != F.col("main")
+    mine = lambda blocks: F.array(F.pmod(F.xxhash64("unit"), F.col(blocks)))
+    every_one = lambda blocks: F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
+    kept = ["s", "unit", "n", "root"]
+    dealt = rows.select(*kept, mine("wholes").alias("i"), every_one("lates").alias("j"), F.lit(False).alias("late"))
+    dealt = dealt.union(rows.where(late).select(*kept, every_one("wholes").alias("i"), mine("lates").alias("j"), F.lit(True).alias("late")))
+    dealt = dealt.withColumn("i", F.explode("i")).withColumn("j", F.explode("j")).join(wide, "unit")
+    return dealt.groupBy("s", "i", "j").applyInArrow(lambda block: _compare(least, every, block), "a long, b long").distinct()
 
 
 def _like(n: str, m: str, least: float) -> Column:
@@ -219,22 +282,32 @@ def classes(docs: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((top[order], len(top) - 1 - order))
     prints = durable(units.mapInArrow(functools.partial(_prints, sent, least), "unit long, n int, bits binary, prefix array<long>").dropDuplicates(["unit"]))
 
-    groups = prints.join(roots, "unit").select(F.explode("prefix").alias("s"), "unit", "n", "root")
-    while groups is not None and not (mixed := _mixed(groups)).isEmpty():
-        stars = mixed.where("unit <> hub").groupBy(F.col("hub").alias("a"), F.col("unit").alias("b"), F.col("hub_n").alias("m"), "n", F.expr("root <> hub_root").alias("cross"))
-        stars = durable(stars.agg((F.max("k") > DENSE).alias("differs")).where(F.col("differs") | (F.col("cross") & _like("n", "m", least))).select("a", "b", "differs"))
-        near = sifted(prints, stars.where("not differs").select("a", "b"), least).withColumn("differs", F.lit(False))
-        checked = durable(verified(units, durable(near.union(stars.where("differs"))), least))
-        roots = _merged(roots, checked.where("linked"))
-
-        few = durable(mixed.where(F.col("k") <= DENSE).select("s", "unit", "n").join(roots, "unit"))
-        other = few.select("s", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-        pairs = few.join(other, "s").where((F.col("unit") < F.col("b")) & (F.col("root") != F.col("other")) & _like("n", "m", least))
-        done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.select(F.col("unit").alias("a"), "b").distinct().join(done, ["a", "b"], "left_anti")
-        left = durable(sifted(prints, pairs, least).withColumn("differs", F.lit(False)))
-        roots = _merged(roots, verified(units, left, least).where("linked"))
-
-        differ = checked.where("rest is not null")
-        groups = None if differ.isEmpty() else _differing(differ).join(roots, "unit")
-    return roots
+    mixed = _mixed(prints.join(roots, "unit").select(F.explode("prefix").alias("s"), "unit", "n", "root"))
+    if mixed.isEmpty():
+        return roots
+    stars = mixed.where((F.col("unit") != F.col("hub")) & (F.col("root") != F.col("hub_root")) & _like("n", "hub_n", least))
+    stars = stars.select(F.least("hub", "unit").alias("a"), F.greatest("hub", "unit").alias("b")).distinct()
+    done = durable(sifted(prints, stars, least))
+    roots = _merged(roots, verified(units, done, least))
+
+    few = durable(mixed.where(F.col("k") <= DENSE).select("s", "unit", "n").join(roots, "unit"))
+    other = few.select("s", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    pairs = few.join(other, "s").where((F.col("unit") < F.col("b")) & (F.col("root") != F.col("other")) & _like("n", "m", least))
+    pairs = pairs.select(F.col("unit").alias("a"), "b").distinct().join(done, ["a", "b"], "left_anti")
+    left = durable(sifted(prints, pairs, least))
+    roots = _merged(roots, verified(units, left, least))
+
+    large = durable(mixed.where(F.col("k") > DENSE).select("s", "unit", "n"))
+    if large.isEmpty():
+        return roots
+    wide = durable(units.join(large.select("unit").distinct(), "unit", "left_semi").mapInArrow(_wide, "unit long, bits binary").dropDuplicates(["unit"]))
+    done, every = done.union(left), False
+    while True:
+        new = durable(_crossing(large, wide, roots, least, every).join(done, ["a", "b"], "left_anti"))
+        links = durable(verified(units, new, least))
+        found = not links.isEmpty()
+        if found:
+            roots = _merged(roots, links)
+        if every:
+            return roots
+        done, every = done.union(new), not found

@@ -93,6 +93,41 @@ def test_classes_are_those_of_all_pairs(spark, monkeypatch):
         assert {r.unit: r.root for r in nc.classes(docs, roots, 0.8).collect()} == want
 
 
+def test_work_grows_with_a_family_not_with_its_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    bases = [[f"g{g}w{i}" for i in range(90)] for g in range(2)]
+    rows = [(k, edited(bases[k % 2], rng.choice([1, 2, 3, 4, 5, 6, 8]), rng)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    units = {r.unit: sets(r.text) for r in docs.select(nc.unit().alias("unit"), "text").collect()}
+    want = plain_classes(units, [(a, b) for a in units for b in units if a < b and alike(units[a], units[b])])
+    assert 60 < len(set(want.values())) < 280
+    written, durable = [], nc.durable
+    monkeypatch.setattr(nc, "durable", lambda df: written.append(out := durable(df)) or out)
+    monkeypatch.setattr(nc, "DENSE", 8)
+    monkeypatch.setattr(nc, "BLOCK", 20, raising=False)
+    lone = spark.createDataFrame([(u, u) for u in units], "unit long, root long")
+    assert {r.unit: r.root for r in nc.classes(docs, lone, 0.8).collect()} == want
+    prefixes = sum(nc.prefix(len(x), 0.8) for x in units.values())
+    assert sum(df.count() for df in written) < 6 * prefixes
+
+
+def test_bitmaps_find_all_pairs_of_classes():
+    rng = random.Random(5)
+    own = [np.unique(rng.choices(range(1 << 60), k=n)) for n in (1, 2, 30, 31, 33, 60, 66, 127, 128, 130, 1030, 9000)]
+    for x in own[2:] * 3:
+        keep = x[rng.randint(0, max(1, len(x) // 9)) :]
+        own.append(np.unique(np.concatenate([keep, rng.choices(range(1 << 60), k=rng.randint(0, len(x) // 9))])).astype(np.int64))
+    own = [x.astype(np.int64) for x in own]
+    n, root, late = [len(x) for x in own], [k % 7 for k in range(len(own))], [k % 7 > 0 for k in range(len(own))]
+    rows = [(k, False) for k in range(len(own))] + [(k, True) for k in range(len(own)) if late[k]]
+    block = pa.table({"unit": [k for k, _ in rows], "n": [n[k] for k, _ in rows], "root": [root[k] for k, _ in rows], "late": [m for _, m in rows], "bits": [nc.parity(own[k], nc._widths(n[k])) for k, _ in rows]})
+    want = {(i, j) for j in range(len(own)) for i in range(j) if root[i] != root[j] and alike(set(own[i].tolist()), set(own[j].tolist()))}
+    found = nc._compare(0.8, True, block)
+    assert len(want) > 40 and want <= set(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+    one = nc._compare(0.8, False, block)
+    assert {x for pair in want for x in pair if late[x]} <= {x for c in ("a", "b") for x in one[c].to_pylist()}
+
+
 def test_differences_of_similar_sets_meet():
     rng = random.Random(6)
     met = 0
