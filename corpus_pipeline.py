@@ -18,8 +18,11 @@ from keyloom.llm._frames import remove, scratch, shared_folder, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letters, or over four in ten trigrams that no learned language has; texts that mix learned languages stay."""
-    return language_crf.accepted(docs, language_crf.train(docs, learn=F.lit(True)), least=0.0, known=0.6)
+    """Documents go that have no letters, or over four in ten trigrams that no learned language has; texts that mix learned languages stay.
+
+    Where lang is null it becomes the language predicted; a language given stays.
+    """
+    return language_crf.accepted(docs, language_crf.train(docs, learn=F.lit(True)), least=0.0, known=0.6, fill="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -331,14 +332,21 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Crf, least: float = 0.5, known: float = 0.0) -> DataFrame:
-    """The rows of docs, unchanged, that have a language with at least the given share, and of whose trigrams the model knows so many."""
+def accepted(docs: DataFrame, model: Crf, least: float = 0.5, known: float = 0.0, fill: str | None = None) -> DataFrame:
+    """The rows of docs, unchanged, that have a language with at least the given share, and of whose trigrams the model knows so many.
+
+    fill: a column that gets the predicted language where it is null.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = None if fill is None else [c.lower() for c in docs.columns].index(fill.lower())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches):
             names, score, share = sent.value.predict(texts)
             keep = np.array([name != UNKNOWN for name in names], bool) & (score >= least) & (share >= known)
+            if place is not None and part.column(place).null_count:
+                found = pa.array([name if some else None for name, some in zip(names, keep, strict=True)], pa.string())
+                part = part.set_column(place, part.schema.field(place), pc.coalesce(part.column(place), found.cast(part.column(place).type)))
             yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -80,3 +80,15 @@ def test_stages_keep_the_columns_and_take_an_empty_table(spark, tmp_path):
         assert out.collect() == []
         if k < 4:
             assert out.schema.simpleString() == docs.schema.simpleString()
+
+
+def test_language_stage_names_the_language_of_rows_without_one(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        words, lang = (EN, "en") if i % 2 else (DE, "de")
+        rows.append((i, " ".join(rng.choice(words) for _ in range(40)), None if i % 10 < 2 else lang))
+    rows += [(200, rows[0][1], "en"), (201, "Быстрая лиса прыгает через ленивую собаку", None), (202, "12 34", None), (203, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Lang string").repartition(3)
+    got = {r.doc_id: (r.text, r.Lang) for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert got == {i: (text, lang or ("en" if i % 2 else "de")) for i, text, lang in rows[:-3]}  # a language given stays
