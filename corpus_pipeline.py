@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import byte_bpe, decontaminate, language_crf, secret_scan, simhash_dedup
-from keyloom.llm._frames import remove, scratch, shared_folder, table, unused
+from keyloom.llm._frames import lean_batches, remove, scratch, shared_folder, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,16 +22,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where lang is null it becomes the language predicted; a language given stays.
     """
+    lean_batches(spark)
     return language_crf.accepted(docs, language_crf.train(docs, learn=F.lit(True)), least=0.0, known=0.6, fill="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest id: fingerprints at most 3 bits apart, or 0.8 of five-word shingles in common."""
+    lean_batches(spark)
     return simhash_dedup.keep_one(docs, similarity=0.8, radius=3, size=3)
 
 
 def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    lean_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), whole=True)
 
 
@@ -49,6 +52,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the text, and whether they decode to it."""
+    lean_batches(spark)
     out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return out.withColumn("decodes", same).drop("text", "decoded")

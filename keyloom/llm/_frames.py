@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -97,6 +98,20 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on at most so many rows go to Python at once: a batch holds whole texts, in the JVM's buffers and again in the worker's."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def give_back() -> None:
+    """What a task has freed goes back to the system, as its worker stays for later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of about ``size`` bytes of text (one document at least) with the texts as UTF-8; null is empty."""
     for batch in batches:
@@ -108,3 +123,5 @@ def pieces(batches: Iterable[pa.RecordBatch], size: int = 1 << 19) -> Iterator[t
             high = min(len(ends), int(np.searchsorted(ends, done + size)) + 1)
             yield batch.slice(low, high - low), [t or b"" for t in texts.slice(low, high - low).to_pylist()]
             low, done = high, int(ends[high - 1])
+        del batch, texts
+    give_back()

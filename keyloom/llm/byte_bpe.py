@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloom.llm._frames import give_back
+
 #: Pieces of up to so many bytes are merged directly.
 LEAF = 24
 #: Above all ranks.
 NONE = 1 << 62
-#: Pieces that a task remembers.
-KEPT = 400_000
+#: Pieces in each of the two tables that a worker keeps, also between tasks (some 180 bytes each).
+KEPT = 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +50,9 @@ class Codec:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.odd: set[str] = set()
 
     def merge(self, data: bytes) -> list[int]:
         """Plain encoding: join the neighbours of the lowest rank, the leftmost first, until none has a rank."""
@@ -137,18 +141,25 @@ class Codec:
 
     def texts(self, text: str) -> tuple[str, int, bytes]:
         """Decimal ids joined by a space, their number, and the bytes they decode to."""
-        known, rows = self.known, []
-        for piece in self.split(text):
-            row = known.get(piece)
-            if row is None:
-                ids = self.encode_piece(piece.encode())
-                row = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-                if len(piece) <= 64:
-                    if len(known) >= KEPT:
-                        known.clear()
-                    known[piece] = row
-            rows.append(row)
-        return " ".join([r[0] for r in rows]), sum([r[1] for r in rows]), b"".join([r[2] for r in rows])
+        parts = self.split(text)
+        joined = " ".join([self.known.get(piece) or self._remembered(piece) for piece in parts])
+        same = not self.odd or self.odd.isdisjoint(parts)
+        data = "".join(parts).encode() if same else self.decode(map(int, joined.split()))
+        return joined, joined.count(" ") + 1 if joined else 0, data
+
+    def _remembered(self, piece: str) -> str:
+        row = self.older.get(piece)
+        if row is None:
+            data = piece.encode()
+            ids = self.encode_piece(data)
+            row = " ".join(map(str, ids))
+            if self.decode(ids) != data:  # two tokens of one rank
+                self.odd.add(piece)
+        if len(piece) <= 64:
+            if len(self.known) >= KEPT:  # what is met again comes back from the older table
+                self.known, self.older = {}, self.known
+            self.known[piece] = row
+        return row
 
 
 def _shared(spark: SparkSession, path: str, pattern: str) -> Callable[[], Codec]:
@@ -187,5 +198,6 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     made = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.binary())]
                     yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "n_tokens", "ids", "decoded"])
                     low, size, rows = high, 0, []
+        give_back()
 
     return kept.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import public_tokenizers
 import tiktoken
@@ -37,6 +38,25 @@ def test_long_pieces():
     check("<|endoftext|> ordinary \U0001f600\U0001f600 'll 've")
 
 
+def test_what_a_worker_remembers_stays_small():
+    codec = Codec(RANKS, public_tokenizers.PATTERN)
+    for low in range(0, 300_000, 1000):
+        text = " ".join(f"q{k:05x}" for k in range(low, low + 1000)).translate(str.maketrans("0123456789", "ghijklmnop"))
+        assert codec.texts(text)[2] == text.encode()
+    tables = [t for t in vars(codec).values() if isinstance(t, dict) and t is not codec.ranks and t is not codec.tokens]
+    kept = sum(sys.getsizeof(t) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in t.items()) for t in tables)
+    if isinstance(next(iter(codec.known.values())), tuple):
+        kept += sum(sys.getsizeof(x) for row in codec.known.values() for x in row)
+    assert kept < 40 << 20
+
+
+def test_tokens_of_one_rank_are_decoded_from_the_ids():
+    codec = Codec(RANKS | {b" zqzq": RANKS[b" the"]}, public_tokenizers.PATTERN)
+    for _ in range(2):
+        joined, n, data = codec.texts("a zqzq the")
+        assert data == codec.decode(map(int, joined.split())) == b"a zqzq zqzq" and n == 3
+
+
 def test_query_round_trip(spark, tmp_path):
     rows = [(None, None), (1, ""), (2, "Hello  world's 123\n\n é 日本"), (3, "x" * 5000), (2, "Hello  world's 123\n\n é 日本"), (3, None)]
     spark.createDataFrame([(i, t, 4, "i") for i, t in rows], "doc_id long, text string, n_tokens int, ids string").write.parquet(str(tmp_path / "documents.parquet"))
